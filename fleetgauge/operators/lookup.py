@@ -59,7 +59,8 @@ def lookup_join(
     broadcast and ``facts`` does not move. Any other is copied into ``slices``
     and the facts are dealt over them by ``spread``, so the rows of one hot key
     go to many tasks. Each fact row meets exactly one copy, so inner, left,
-    semi and anti joins keep their meaning.
+    semi and anti joins keep their meaning. The hint keeps Spark from
+    broadcasting the copies on an estimate that does not count them.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot slice a {how} join")

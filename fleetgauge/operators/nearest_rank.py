@@ -7,6 +7,8 @@ percentile; ``percentile_disc`` skips NULLs and would answer differently.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ def rank_within(
 
 
 def rank_position(count: Column, q: float) -> Column:
-    """Position of the nearest-rank percentile among ``count`` rows."""
-    return F.ceil(count * q)
+    """Position of the nearest-rank percentile among ``count`` rows, in exact arithmetic."""
+    return F.ceil(count * F.lit(Decimal(str(q)))).cast("long")
 
 
 def value_at_rank(value: str, q: float) -> Column:

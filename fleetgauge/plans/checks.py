@@ -13,8 +13,8 @@ from fleetgauge.operators.bands import in_band
 from fleetgauge.operators.lookup import sized
 from fleetgauge.operators.nearest_rank import rank_within, value_at_rank
 from fleetgauge.params import BANDS, TimeWindow
-from fleetgauge.plans.current import current_sides
-from fleetgauge.plans.items import size_items
+from fleetgauge.plans.current import pairs_with_sides
+from fleetgauge.plans.items import SIZE_ROLES, has_any_role, size_items
 from fleetgauge.plans.stages import Stages
 from fleetgauge.plans.usage import both_sides, name_series
 
@@ -33,7 +33,7 @@ def unpaired(items: DataFrame) -> DataFrame:
 
 def stale_items(stages: Stages) -> DataFrame:
     """Filesystems without a current value, and the side that is to blame."""
-    sides = current_sides(stages.scoped_pairs, stages.scoped_samples, stages.small)
+    sides = pairs_with_sides(stages.scoped_pairs, stages.scoped_samples, stages.small)
     used, free = F.col("value_used"), F.col("value_free")
     reason = (
         F.when(used.isNull() & free.isNull(), "no used and no free sample")
@@ -93,16 +93,16 @@ def unknown_power(stages: Stages) -> DataFrame:
 
 def key_format(items: DataFrame) -> DataFrame:
     """Disk-size items whose key is not in the expected format."""
-    sizes = size_items(items).select("itemid").distinct()
-    odd = items.filter(~F.coalesce(F.col("key_").rlike(SIZE_KEY_REGEX), F.lit(False)))
-    return odd.join(sizes, "itemid", "left_semi").select("itemid", "hostid", "name", "key_")
+    expected = F.coalesce(F.col("key_").rlike(SIZE_KEY_REGEX), F.lit(False))
+    odd = items.filter(has_any_role(SIZE_ROLES) & ~expected)
+    return odd.select("itemid", "hostid", "name", "key_")
 
 
 def clock_skew(stages: Stages) -> DataFrame:
     """Buckets per filesystem that have both sides, and those lost for lack of one."""
     used, free = F.col("n_first") > 0, F.col("n_second") > 0
     counts = (
-        both_sides(stages.series_rows)
+        both_sides(stages.series_rows, stages.window.tz)
         .groupBy("series_id")
         .agg(
             F.count_if(used & free).alias("aligned"),

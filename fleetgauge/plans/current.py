@@ -10,6 +10,7 @@ from fleetgauge.functions.measures import share_pct
 from fleetgauge.operators.latest import latest_per_key
 from fleetgauge.operators.lookup import sized
 from fleetgauge.params import CURRENT_LOOKBACK, POWER_LOOKBACK
+from fleetgauge.plans.usage import series_items
 
 
 def latest_samples(
@@ -48,24 +49,27 @@ def latest_clock(samples: DataFrame) -> DataFrame:
     return samples.select("itemid", F.col("clock").alias("max_clock"))
 
 
-def current_sides(pairs: DataFrame, samples: DataFrame, small: bool) -> DataFrame:
-    """All pairs with the latest clock and value of each side, NULL where there is none.
+def current_sides(samples: DataFrame, pairs: DataFrame, small: bool) -> DataFrame:
+    """``series_id`` with the latest clock and value of each side, NULL where there is none."""
+    used = F.col("is_used")
+    tagged = samples.join(sized(series_items(pairs), small), "itemid")
+    return tagged.groupBy("series_id").agg(
+        F.max(F.when(used, F.col("clock"))).alias("clock_used"),
+        F.max(F.when(used, F.col("value"))).alias("value_used"),
+        F.max(F.when(~used, F.col("clock"))).alias("clock_free"),
+        F.max(F.when(~used, F.col("value"))).alias("value_free"),
+    )
 
-    ``samples`` has at most one row per wanted item, so it is as small as those.
-    """
-    for side in ("used", "free"):
-        renamed = samples.select(
-            F.col("itemid").alias(f"{side}_itemid"),
-            F.col("clock").alias(f"clock_{side}"),
-            F.col("value").alias(f"value_{side}"),
-        )
-        pairs = pairs.join(sized(renamed, small), f"{side}_itemid", "left")
-    return pairs
+
+def pairs_with_sides(pairs: DataFrame, samples: DataFrame, small: bool) -> DataFrame:
+    """All pairs, with the latest clock and value of each side where there is one."""
+    sides = sized(current_sides(samples, pairs, small), small)
+    return pairs.withColumn("series_id", F.col("used_itemid")).join(sides, "series_id", "left")
 
 
 def current_usage(pairs: DataFrame, samples: DataFrame, small: bool) -> DataFrame:
     """Current usage per filesystem; NULL when a side has no sample or both are zero."""
-    return current_sides(pairs, samples, small).select(
+    return pairs_with_sides(pairs, samples, small).select(
         "hostid",
         "vm_name",
         "partition_name",

@@ -15,6 +15,7 @@ from fleetgauge.functions.text import (
     USED_NAME,
     filesystem,
 )
+from fleetgauge.operators.lookup import lookup_join
 
 SIZE_ROLES = ("used", "free")
 ALL_ROLES = ("used", "free", "power")
@@ -29,6 +30,11 @@ def _has_role(role: str) -> Column:
     return name.like(FREE_NAME) | (key == FREE_KEY)
 
 
+def has_any_role(roles: tuple[str, ...]) -> Column:
+    """True for an item with at least one of ``roles``."""
+    return reduce(lambda one, other: one | other, [_has_role(role) for role in roles])
+
+
 def classify(items: DataFrame, roles: tuple[str, ...]) -> DataFrame:
     """``itemid, hostid, role, partition_name`` of the items that have a role.
 
@@ -43,9 +49,8 @@ def classify(items: DataFrame, roles: tuple[str, ...]) -> DataFrame:
                 _has_role(role).alias("has"), F.lit(role).alias("role"), path.alias("partition_name")
             )
         )
-    any_role = reduce(lambda one, other: one | other, [_has_role(role) for role in roles])
     return (
-        items.filter(any_role)
+        items.filter(has_any_role(roles))
         .select("itemid", "hostid", F.inline(F.array(*found)))
         .filter("has")
         .select("itemid", "hostid", "role", "partition_name")
@@ -81,9 +86,10 @@ def pair_items(sizes: DataFrame) -> DataFrame:
     return _pairs(known, ["hostid", "partition_name"]).filter(_both_sides())
 
 
-def members(items: DataFrame, scope: DataFrame) -> DataFrame:
+def members(items: DataFrame, scope: DataFrame, small: bool) -> DataFrame:
     """The pairs and the power items of the hosts in ``scope``, as one table.
 
+    ``small`` says that ``scope`` was measured to fit a broadcast.
     A row has ``used_itemid`` and ``free_itemid``, or ``power_itemid``. One read
     of the catalogue, cut to the scope before anything is grouped.
     """
@@ -92,8 +98,9 @@ def members(items: DataFrame, scope: DataFrame) -> DataFrame:
         classify(items, ALL_ROLES)
         .filter(power | F.col("partition_name").isNotNull())
         .withColumn("power_itemid", F.when(power, F.col("itemid")))
-        .join(scope, "hostid")
     )
+    # Spread by item: one host may hold a large part of the catalogue.
+    known = lookup_join(known, scope, "hostid", small=small, spread=F.col("itemid"))
     keys = ["hostid", "vm_name", "partition_name", "power_itemid"]
     return _pairs(known, keys).filter(F.col("power_itemid").isNotNull() | _both_sides())
 

@@ -21,17 +21,21 @@ def report_rows(stages: Stages, filtered: DataFrame) -> DataFrame:
     enrichment joins are left joins: missing samples never drop a row. A host
     with two power items gives two rows.
     """
-    pairs = stages.scoped_pairs.withColumn("series_id", F.col("used_itemid"))
-    named = filtered.join(sized(pairs, stages.small), "series_id")
-    with_current = current_sides(named, stages.scoped_samples, stages.small)
-    power = sized(stages.scoped_power, stages.small)
-    return with_current.join(power, "hostid", "left").select(
-        F.col("vm_name").alias("vm"),
-        "partition_name",
-        power_name(F.col("power_state")).alias("PowerState"),
-        share_pct(F.col("value_used"), F.col("value_free")).alias("current_disk_pct"),
-        F.col("avg_usage_pct").alias("average_disk_pct"),
-        F.col("p95_usage_pct").alias("percentile_95th_pct"),
+    pairs, small = stages.scoped_pairs, stages.small
+    names = pairs.withColumn("series_id", F.col("used_itemid"))
+    sides = current_sides(stages.scoped_samples, pairs, small)
+    return (
+        filtered.join(sized(names, small), "series_id")
+        .join(sized(sides, small), "series_id", "left")
+        .join(sized(stages.scoped_power, small), "hostid", "left")
+        .select(
+            F.col("vm_name").alias("vm"),
+            "partition_name",
+            power_name(F.col("power_state")).alias("PowerState"),
+            share_pct(F.col("value_used"), F.col("value_free")).alias("current_disk_pct"),
+            F.col("avg_usage_pct").alias("average_disk_pct"),
+            F.col("p95_usage_pct").alias("percentile_95th_pct"),
+        )
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.text import matches_none
+from fleetgauge.operators.lookup import fits_broadcast, lookup_join
 from fleetgauge.params import ScopePolicy
 from fleetgauge.sources.tables import Telemetry
 
@@ -21,12 +22,15 @@ def groups_in_scope(hstgrp: DataFrame, policy: ScopePolicy) -> DataFrame:
     return hstgrp.filter(keep).select("groupid")
 
 
-def hosts_in_scope(tables: Telemetry, policy: ScopePolicy) -> DataFrame:
+def hosts_in_scope(
+    tables: Telemetry, policy: ScopePolicy, broadcast_bytes: int | None = None
+) -> DataFrame:
     """``hostid, vm_name`` of the hosts a policy covers, once each.
 
     Membership is a semi join, so a host in many groups is never multiplied.
     """
-    members = _members(tables.hosts_groups, groups_in_scope(tables.hstgrp, policy))
+    small = fits_broadcast(tables.hstgrp, broadcast_bytes)
+    members = _members(tables.hosts_groups, groups_in_scope(tables.hstgrp, policy), small)
     hosts = (
         tables.hosts.filter(matches_none(F.col("name"), policy.host_not_like))
         .select("hostid", F.col("name").alias("vm_name"))
@@ -34,10 +38,14 @@ def hosts_in_scope(tables: Telemetry, policy: ScopePolicy) -> DataFrame:
     )
     if policy.host_not_in_groups is not None:
         flagged = tables.hstgrp.filter(F.col("name").rlike(policy.host_not_in_groups))
-        barred = _members(tables.hosts_groups, flagged.select("groupid"))
+        barred = _members(tables.hosts_groups, flagged.select("groupid"), small)
         hosts = hosts.join(barred, "hostid", "left_anti")
     return hosts.distinct()
 
 
-def _members(hosts_groups: DataFrame, groups: DataFrame) -> DataFrame:
-    return hosts_groups.join(groups, "groupid", "left_semi").select("hostid").distinct()
+def _members(hosts_groups: DataFrame, groups: DataFrame, small: bool) -> DataFrame:
+    # Spread by host: one group may hold a large part of the memberships.
+    chosen = lookup_join(
+        hosts_groups, groups, "groupid", small=small, spread=F.col("hostid"), how="left_semi"
+    )
+    return chosen.select("hostid").distinct()

@@ -39,7 +39,7 @@ class Stages:
     @cached_property
     def list_server(self) -> DataFrame:
         """Hosts in scope."""
-        return scope.hosts_in_scope(self.tables, self.policy)
+        return scope.hosts_in_scope(self.tables, self.policy, self.broadcast_bytes)
 
     @cached_property
     def item_classify(self) -> DataFrame:
@@ -64,8 +64,9 @@ class Stages:
     @cached_property
     def members(self) -> DataFrame:
         """Pairs and power items in scope, computed once: every later stage starts here."""
-        found = items.members(self.tables.items, self.list_server)
-        return settle(found)
+        # The scope is a part of the hosts, so it is as small as those.
+        small = fits_broadcast(self.tables.hosts, self.broadcast_bytes)
+        return settle(items.members(self.tables.items, self.list_server, small))
 
     @cached_property
     def small(self) -> bool:
@@ -92,7 +93,7 @@ class Stages:
     @cached_property
     def buckets(self) -> DataFrame:
         """Aligned buckets in scope by series."""
-        return usage.usage_buckets(self.series_rows, self.unique_buckets)
+        return usage.usage_buckets(self.series_rows, self.window.tz, self.unique_buckets)
 
     @cached_property
     def days(self) -> DataFrame:

@@ -36,7 +36,7 @@ def series_items(pairs: DataFrame) -> DataFrame:
 def series_rows(
     trends: DataFrame, pairs: DataFrame, window: TimeWindow, small: bool
 ) -> DataFrame:
-    """``series_id, is_used, day, clock, value_avg`` of the window's bucket averages.
+    """``series_id, is_used, clock, value_avg`` of the window's bucket averages.
 
     ``small`` says that ``pairs`` was measured to fit a broadcast.
     """
@@ -44,25 +44,26 @@ def series_rows(
     tagged = lookup_join(
         rows, series_items(pairs), "itemid", small=small, spread=F.col("clock")
     )
-    day = local_day(F.col("clock"), window.tz).alias("day")
-    return tagged.select("series_id", "is_used", day, "clock", "value_avg")
+    return tagged.select("series_id", "is_used", "clock", "value_avg")
 
 
-def both_sides(rows: DataFrame) -> DataFrame:
+def both_sides(rows: DataFrame, tz: str) -> DataFrame:
     """``first``/``second`` (used/free) values and row counts per series and bucket.
 
     One read and one exchange. It is by series and day, which also serves the
-    daily means. A day has 86400 clock values, so with one row per item and
-    clock a group stays below 172800 rows however much a series collects.
+    daily means; the day itself is added after it, so it is not shuffled. A day
+    has 86400 clock values, so with one row per item and clock a group stays
+    near 172800 rows however much a series collects.
     """
     used = F.col("is_used")
-    by_day = rows.repartition("series_id", "day")
+    day = local_day(F.col("clock"), tz)
+    by_day = rows.repartition("series_id", day).withColumn("day", day)
     return pivot_sides(
         by_day, ["series_id", "day", "clock"], used, ~used, F.col("value_avg"), F.max
     )
 
 
-def usage_buckets(rows: DataFrame, unique_buckets: bool = True) -> DataFrame:
+def usage_buckets(rows: DataFrame, tz: str, unique_buckets: bool = True) -> DataFrame:
     """``series_id, day, clock, used_gib, free_gib, usage_pct`` per aligned bucket.
 
     A bucket needs a row of each side at the same clock. ``(itemid, clock)`` is
@@ -71,7 +72,7 @@ def usage_buckets(rows: DataFrame, unique_buckets: bool = True) -> DataFrame:
     the table twice and keeps every combination of repeated rows.
     """
     if unique_buckets:
-        sides = both_sides(rows)
+        sides = both_sides(rows, tz)
         repeated = (F.col("n_first") > 1) | (F.col("n_second") > 1)
         failure = F.raise_error(F.lit("repeated (itemid, clock): use unique_buckets=False"))
         aligned = (
@@ -80,7 +81,12 @@ def usage_buckets(rows: DataFrame, unique_buckets: bool = True) -> DataFrame:
             .withColumnsRenamed({"first": "used", "second": "free"})
         )
     else:
-        used = rows.filter("is_used").withColumnRenamed("value_avg", "used")
+        used = rows.filter("is_used").select(
+            "series_id",
+            local_day(F.col("clock"), tz).alias("day"),
+            "clock",
+            F.col("value_avg").alias("used"),
+        )
         free = rows.filter(~F.col("is_used")).select(
             "series_id", "clock", F.col("value_avg").alias("free")
         )

@@ -3,6 +3,9 @@
 Suppliers stand for hosts, nations for host groups, and the event stream for
 the samples: every four users are one host, and the event type says which of
 its items an event is a sample of. All rows of the source tables are used.
+
+Items 1 and 3 of a host are used space of ``/`` and ``/data``, 2 and 4 free
+space, 5 is the power state and 6 a second item for the series of item 1.
 """
 
 from __future__ import annotations
@@ -13,142 +16,107 @@ from pyspark.sql import functions as F
 from fleetgauge.functions.text import POWER_KEY
 from fleetgauge.sources.tables import Telemetry
 
-USERS_PER_HOST = 4
-BUCKET = 6 * 3600
-DAY = 86400
-
-# Item numbers within a host.
-USED_ROOT, FREE_ROOT, USED_DATA, FREE_DATA, POWER, USED_ROOT_COPY = 1, 2, 3, 4, 5, 6
-ITEM_OF_EVENT = {"click": USED_ROOT, "view": FREE_ROOT, "purchase": USED_DATA, "signup": FREE_DATA}
-
-# Group name by nation key modulo 8.
-GROUP_NAMES = (
-    "TBN App",
-    "TBN DB",
-    "TBN SAP",
-    "01_Critical",
-    "TBN 01-Critical",
-    "03_High",
-    "TBN Web",
-    "Other",
-)
-# How much larger the used side is than the free side, by host modulo 5.
-USED_FACTORS = (1, 2, 4, 8, 40)
-BYTES_PER_UNIT = 10737418
+SOURCES = {
+    "nation": "n_nationkey int",
+    "supplier": "s_suppkey long, s_nationkey int",
+    "events": "user_id long, event_type string, ts timestamp_ntz, value double",
+}
 
 
 def epoch(ts: Column) -> Column:
     """Whole seconds since 1970 of a zone-less timestamp, whatever the session zone."""
     start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("SECOND", start, ts.cast("timestamp_ntz"))
-
-
-def _pick(index: Column, values: tuple) -> Column:
-    """``values[index]`` as an expression."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.timestamp_diff("SECOND", start, ts)
 
 
 def _samples(events: DataFrame) -> DataFrame:
-    host = F.floor(F.col("user_id") / USERS_PER_HOST).alias("hostid")
-    item = F.coalesce(
-        *[F.when(F.col("event_type") == event, k) for event, k in ITEM_OF_EVENT.items()],
-        F.lit(POWER),
+    rows = events.select(
+        F.expr("user_id div 4 AS hostid"),
+        epoch(F.col("ts")).alias("clock"),
+        F.expr(
+            "CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3"
+            " WHEN 'signup' THEN 4 ELSE 5 END AS k"
+        ),
+        "value",
     )
-    rows = events.select(host, epoch(F.col("ts")).alias("clock"), item.alias("k"), "value")
-    units = F.floor(F.col("value") * 100) * BYTES_PER_UNIT
-    factor = F.when(
-        F.col("k").isin(USED_ROOT, USED_DATA), _pick(F.col("hostid") % 5, USED_FACTORS)
-    ).otherwise(1)
-    code = F.floor("value") % 4
-    return rows.select(
+    # The used side is larger than the free side by a factor of the host.
+    return rows.selectExpr(
         "hostid",
         "clock",
         "k",
-        F.when(F.col("k") == POWER, code).otherwise(units * factor).alias("value"),
+        "CASE WHEN k = 5 THEN floor(value) % 4"
+        " ELSE floor(value * 100) * 10737418 * IF(k IN (1, 3),"
+        "  element_at(array(1, 2, 4, 8, 40), int(hostid % 5) + 1), 1) END AS value",
     )
 
 
 def _items(samples: DataFrame) -> DataFrame:
     seen = samples.select("hostid", "k").distinct()
-    # Some hosts have a second item for the same series.
-    again = F.when(
-        (F.col("k") == USED_ROOT) & (F.col("hostid") % 9 == 2),
-        F.array(F.lit(USED_ROOT), F.lit(USED_ROOT_COPY)),
-    ).otherwise(F.array("k"))
-    seen = seen.select("hostid", F.explode(again).alias("k"))
-
-    side = F.when(F.col("k").isin(USED_ROOT, USED_DATA, USED_ROOT_COPY), "used").otherwise("free")
-    # Some hosts name the two sides of a filesystem differently.
-    path = (
-        F.when(F.col("k").isin(USED_ROOT, FREE_ROOT, USED_ROOT_COPY), "/")
-        .when((F.col("k") == FREE_DATA) & (F.col("hostid") % 13 == 5), "/data-old")
-        .otherwise("/data")
-    )
-    rows = seen.select("hostid", "k", side.alias("side"), path.alias("path"))
-    # And some use an older key format.
-    legacy = F.col("k").isin(USED_DATA, FREE_DATA) & (F.col("hostid") % 17 == 3)
-    size_key = F.when(
-        legacy, F.format_string("legacy.fs.size[%s,%s]", "path", "side")
-    ).otherwise(
-        F.format_string(
-            "vmware.vm.vfs.fs.size[{$VMWARE.URL},{$VMWARE.VM.UUID},%s,%s]", "path", "side"
-        )
+    # Some hosts have a second item, some name the two sides of a filesystem
+    # differently, some use an older key format.
+    rows = seen.selectExpr(
+        "hostid", "explode(IF(k = 1 AND hostid % 9 = 2, array(1, 6), array(k))) AS k"
+    ).selectExpr(
+        "hostid",
+        "k",
+        "IF(k IN (1, 3, 6), 'used', 'free') AS side",
+        "CASE WHEN k IN (1, 2, 6) THEN '/' WHEN k = 4 AND hostid % 13 = 5 THEN '/data-old'"
+        " ELSE '/data' END AS path",
     )
-    size_name = F.concat(
-        F.lit("VMware: "), F.initcap("side"), F.lit(" disk space on ["), "path", F.lit("]")
+    prefix = F.expr(
+        "IF(k IN (3, 4) AND hostid % 17 = 3, 'legacy.fs.size[',"
+        " 'vmware.vm.vfs.fs.size[{$VMWARE.URL},{$VMWARE.VM.UUID},')"
     )
-    power = F.col("k") == POWER
+    size_key = F.concat(prefix, F.expr("concat(path, ',', side, ']')"))
     return rows.select(
-        (F.col("hostid") * 10 + F.col("k")).alias("itemid"),
+        F.expr("hostid * 10 + k AS itemid"),
         "hostid",
-        F.when(power, "Power state").otherwise(size_name).alias("name"),
-        F.when(power, POWER_KEY).otherwise(size_key).alias("key_"),
+        F.expr(
+            "IF(k = 5, 'Power state',"
+            " concat('VMware: ', initcap(side), ' disk space on [', path, ']')) AS name"
+        ),
+        F.when(F.col("k") == 5, POWER_KEY).otherwise(size_key).alias("key_"),
     )
 
 
 def _trends(samples: DataFrame) -> DataFrame:
-    # Some hosts report empty filesystems every other day.
-    blank = (F.col("hostid") % 11 == 4) & (F.col("clock") % (2 * DAY) < DAY)
+    # Six-hour buckets; some hosts report empty filesystems every other day.
     return (
-        samples.filter(F.col("k") != POWER)
-        .groupBy(
-            (F.col("hostid") * 10 + F.col("k")).alias("itemid"),
-            (F.col("clock") - F.col("clock") % BUCKET).alias("clock"),
+        samples.filter("k <> 5")
+        .selectExpr(
+            "hostid * 10 + k AS itemid",
+            "clock - clock % 21600 AS clock",
+            "IF(hostid % 11 = 4 AND clock % 172800 < 86400, 0, value) AS value",
         )
-        .agg(F.max(F.when(blank, 0).otherwise(F.col("value"))).alias("value_avg"))
+        .groupBy("itemid", "clock")
+        .agg(F.max("value").alias("value_avg"))
     )
 
 
 def lens(spark: SparkSession, sf_dir: str) -> Telemetry:
     """Telemetry tables over ``nation``, ``supplier`` and ``events`` in ``sf_dir``."""
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    samples = _samples(spark.read.parquet(f"{sf_dir}/events.parquet"))
-
-    groupid = F.col("n_nationkey").cast("long").alias("groupid")
-    hstgrp = nation.select(groupid, _pick(F.col("n_nationkey") % 8, GROUP_NAMES).alias("name"))
-
-    prefix = (
-        F.when(F.col("s_suppkey") % 10 == 7, "tbn-com-hp")
-        .when(F.col("s_suppkey") % 10 == 9, "VC02 - tbn-com-lnv")
-        .otherwise("vm-")
+    nation, supplier, events = (
+        spark.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
+        for name, schema in SOURCES.items()
     )
-    hosts = supplier.select(
-        F.col("s_suppkey").alias("hostid"),
-        F.concat(prefix, F.col("s_suppkey").cast("string")).alias("name"),
-    )
-    home = F.col("s_nationkey").cast("long")
-    both = F.array_distinct(F.array(home, (home + F.col("s_suppkey")) % 25))
-    hosts_groups = supplier.select(
-        F.col("s_suppkey").alias("hostid"), F.explode(both).alias("groupid")
-    )
-
-    itemid = (F.col("hostid") * 10 + F.col("k")).alias("itemid")
+    samples = _samples(events)
     return Telemetry(
-        hstgrp=hstgrp,
-        hosts=hosts,
-        hosts_groups=hosts_groups,
+        hstgrp=nation.selectExpr(
+            "bigint(n_nationkey) AS groupid",
+            "element_at(array('TBN App', 'TBN DB', 'TBN SAP', '01_Critical', 'TBN 01-Critical',"
+            " '03_High', 'TBN Web', 'Other'), n_nationkey % 8 + 1) AS name",
+        ),
+        hosts=supplier.selectExpr(
+            "s_suppkey AS hostid",
+            "concat(CASE s_suppkey % 10 WHEN 7 THEN 'tbn-com-hp' WHEN 9 THEN 'VC02 - tbn-com-lnv'"
+            " ELSE 'vm-' END, s_suppkey) AS name",
+        ),
+        hosts_groups=supplier.selectExpr(
+            "s_suppkey AS hostid",
+            "explode(array_distinct(array(bigint(s_nationkey), (s_nationkey + s_suppkey) % 25)))"
+            " AS groupid",
+        ),
         items=_items(samples),
         trends_uint=_trends(samples),
-        history_uint=samples.select(itemid, "clock", "value"),
+        history_uint=samples.selectExpr("hostid * 10 + k AS itemid", "clock", "value"),
     )

@@ -51,13 +51,15 @@ def nearest_rank(
 ) -> DataFrame:
     """Exact percentile per key for groups of any size.
 
-    No task ever sorts a whole group. Equal values are counted first, which
-    combines on the map side. Approximate percentiles a little to each side of
-    ``q`` then cut every group into a few ranges; exact counts per range tell
-    which one holds the wanted position, and only the values of that range are
-    ranked. The approximation decides how narrow the range is, not the answer.
+    No task ever sorts a whole group, and the rows themselves are not shuffled
+    while a row per key fits a broadcast. Approximate percentiles a little to
+    each side of ``q`` cut every group into a few ranges; exact counts per range
+    tell which one holds the wanted position; only the values of that range are
+    counted and ranked. The approximation decides how narrow the range is, not
+    the answer. The input is read three times.
     """
-    cuts = sorted({max(q - 0.01, 0.0), max(q - 0.001, 0.0), min(q + 0.001, 1.0), min(q + 0.01, 1.0)})
+    steps = (-0.01, -0.001, 0.001, 0.01)
+    cuts = sorted({min(max(q + step, 0.0), 1.0) for step in steps})
     names = [f"_cut{i}" for i in range(len(cuts))]
     rows = df.select(F.struct(*keys).alias("_key"), F.col(value).alias("_value"))
 
@@ -65,45 +67,43 @@ def nearest_rank(
         rank_position(F.count(F.lit(1)), q).alias("_position"),
         F.percentile_approx("_value", cuts).alias("_cuts"),
     )
-    # One row per key, needed for its size and for the join: computed once.
+    # One row per key, needed for its size and by both steps: computed once.
     totals = settle(
         totals.select(
             "_key", "_position", *[F.get("_cuts", F.lit(i)).alias(n) for i, n in enumerate(names)]
         )
     )
     small = fits_broadcast(totals, broadcast_bytes)
+    passed = [F.coalesce((F.col("_value") > F.col(n)).cast("int"), F.lit(0)) for n in names]
+    range_of = F.when(F.col("_value").isNull(), -1).otherwise(sum(passed[1:], passed[0]))
 
-    counted = rows.groupBy("_key", "_value").agg(F.count(F.lit(1)).alias("_n"))
-    placed = lookup_join(counted, totals, "_key", small=small, spread=F.col("_value"))
-    above = [F.coalesce((F.col("_value") > F.col(n)).cast("int"), F.lit(0)) for n in names]
-    placed = placed.withColumn(
-        "_range",
-        F.when(F.col("_value").isNull(), -1).otherwise(sum(above[1:], above[0])),
+    # A few rows per key: the range that holds the position, and the rank within it.
+    placed = lookup_join(rows, totals, "_key", small=small, spread=F.col("_value"))
+    ranges = placed.groupBy("_key", range_of.alias("_range")).agg(
+        F.count(F.lit(1)).alias("_size"), F.first("_position").alias("_position")
     )
-
-    # At most one row per range and key from here on.
-    by_range = Window.partitionBy("_key").orderBy("_range")
-    ranges = placed.groupBy("_key", "_range").agg(
-        F.sum("_n").alias("_in_range"), F.first("_position").alias("_position")
-    )
-    ranges = ranges.withColumn("_before", F.sum("_in_range").over(by_range) - F.col("_in_range"))
+    upwards = Window.partitionBy("_key").orderBy("_range")
+    ranges = ranges.withColumn("_before", F.sum("_size").over(upwards) - F.col("_size"))
     target = ranges.filter(
         (F.col("_before") < F.col("_position"))
-        & (F.col("_position") <= F.col("_before") + F.col("_in_range"))
+        & (F.col("_position") <= F.col("_before") + F.col("_size"))
     ).select(
-        F.struct("_key", "_range").alias("_slot"), (F.col("_position") - F.col("_before")).alias("_rank")
+        "_key",
+        F.col("_range").alias("_target"),
+        (F.col("_position") - F.col("_before")).alias("_rank"),
     )
 
-    candidates = lookup_join(
-        placed.select(F.struct("_key", "_range").alias("_slot"), "_value", "_n"),
-        target,
-        "_slot",
-        small=small,
-        spread=F.col("_value"),
+    # The values of that range, equal ones counted together.
+    bounds = totals.drop("_position").join(target, "_key")
+    inside = lookup_join(rows, bounds, "_key", small=small, spread=F.col("_value"))
+    counted = (
+        inside.filter(range_of == F.col("_target"))
+        .groupBy("_key", "_rank", "_value")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    running = Window.partitionBy("_slot").orderBy(F.col("_value").asc_nulls_first())
-    reached = candidates.withColumn("_reached", F.sum("_n").over(running)).filter(
+    rising = Window.partitionBy("_key", "_rank").orderBy(F.col("_value").asc_nulls_first())
+    reached = counted.withColumn("_reached", F.sum("_n").over(rising)).filter(
         F.col("_reached") >= F.col("_rank")
     )
-    picked = reached.groupBy("_slot").agg(F.min("_value").alias("_picked"))
-    return picked.select("_slot._key.*", F.col("_picked").alias("percentile"))
+    picked = reached.groupBy("_key", "_rank").agg(F.min("_value").alias("_picked"))
+    return picked.select("_key.*", F.col("_picked").alias("percentile"))

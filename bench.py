@@ -15,11 +15,6 @@ from pyspark.sql import SparkSession
 from fleetgauge import catalogue
 
 HEADLINE = (
-    "report_all_bands",
-    "report_tbn",
-    "report_critical",
-    "report_unprioritized",
-    "report_tbn_monthly",
     "scope_unprioritized",
     "item_pair",
     "usage_detail",
@@ -34,6 +29,11 @@ HEADLINE = (
     "gen_nearest_rank_price",
     "gen_mean_of_daily_means",
     "gen_paired_ratio",
+    "report_tbn",
+    "report_critical",
+    "report_unprioritized",
+    "report_tbn_monthly",
+    "report_all_bands",
 )
 RUNS = 3
 

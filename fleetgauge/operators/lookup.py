@@ -26,16 +26,25 @@ def _row_bytes(column: Column, kind: T.DataType) -> Column:
     return F.lit(_FIXED_WIDTH)
 
 
+def data_bytes(schema: T.StructType) -> Column:
+    """Aggregate: the data size of rows with ``schema``."""
+    columns = F.struct(*[F.col(name) for name in schema.names])
+    return F.sum(_row_bytes(columns, schema).cast("long"))
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Data size of ``df``, counted by one aggregate job over it."""
-    row = _row_bytes(F.struct("*"), df.schema)
-    found = df.agg(F.sum(row.cast("long")).alias("bytes")).first()
-    return int(found["bytes"] or 0)
+    return df.agg(data_bytes(df.schema).alias("bytes")).first()["bytes"] or 0
+
+
+def within_limit(size: int, limit: int | None = None) -> bool:
+    """Whether ``size`` bytes may be sent to every executor."""
+    return size <= (BROADCAST_BYTES if limit is None else limit)
 
 
 def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
-    """Whether ``df`` was measured to be small enough to send to every executor."""
-    return measured_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
+    """Whether ``df`` is measured to be small enough to send to every executor."""
+    return within_limit(measured_bytes(df), limit)
 
 
 def sized(df: DataFrame, small: bool) -> DataFrame:

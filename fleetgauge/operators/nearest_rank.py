@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.operators.lookup import fits_broadcast, lookup_join
+from fleetgauge.operators.lookup import lookup_join, within_limit
 from fleetgauge.operators.settle import settle
 
 
@@ -68,12 +68,12 @@ def nearest_rank(
         F.percentile_approx("_value", cuts).alias("_cuts"),
     )
     # One row per key, needed for its size and by both steps: computed once.
-    totals = settle(
+    totals, size = settle(
         totals.select(
             "_key", "_position", *[F.get("_cuts", F.lit(i)).alias(n) for i, n in enumerate(names)]
         )
     )
-    small = fits_broadcast(totals, broadcast_bytes)
+    small = within_limit(size, broadcast_bytes)
     passed = [F.coalesce((F.col("_value") > F.col(n)).cast("int"), F.lit(0)) for n in names]
     range_of = F.when(F.col("_value").isNull(), -1).otherwise(sum(passed[1:], passed[0]))
 

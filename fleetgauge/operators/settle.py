@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+
+from fleetgauge.operators.lookup import data_bytes, measured_bytes
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,13 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def settle(df: DataFrame) -> tuple[DataFrame, int]:
+    """Write ``df`` to the shared folder; returns it read back, and its data size.
 
-    Later plans start from the files, however many of them there are, and the
-    optimizer sees the real size.
+    Later plans start from the files, however many of them there are. The size
+    is observed during the write.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    observed = Observation()
+    df.observe(observed, data_bytes(df.schema).alias("bytes")).write.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    size = observed.get.get("bytes")
+    return stored, measured_bytes(stored) if size is None else size

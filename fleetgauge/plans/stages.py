@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.operators.lookup import fits_broadcast
+from fleetgauge.operators.lookup import fits_broadcast, within_limit
 from fleetgauge.operators.settle import settle
 from fleetgauge.params import P95, ScopePolicy, TimeWindow
 from fleetgauge.plans import current, items, scope, usage
@@ -62,16 +62,20 @@ class Stages:
         return items.power_items(self.tables.items)
 
     @cached_property
-    def members(self) -> DataFrame:
-        """Pairs and power items in scope, computed once: every later stage starts here."""
+    def _settled(self) -> tuple[DataFrame, int]:
         # The scope is a part of the hosts, so it is as small as those.
         small = fits_broadcast(self.tables.hosts, self.broadcast_bytes)
         return settle(items.members(self.tables.items, self.list_server, small))
 
-    @cached_property
+    @property
+    def members(self) -> DataFrame:
+        """Pairs and power items in scope, computed once: every later stage starts here."""
+        return self._settled[0]
+
+    @property
     def small(self) -> bool:
         """Whether ``members``, and so anything with a row per member, fits a broadcast."""
-        return fits_broadcast(self.members, self.broadcast_bytes)
+        return within_limit(self._settled[1], self.broadcast_bytes)
 
     @cached_property
     def scoped_pairs(self) -> DataFrame:
@@ -141,7 +145,7 @@ class Stages:
     @cached_property
     def scoped_samples(self) -> DataFrame:
         """Latest sample of the paired items in scope."""
-        wanted = items.needed_items(self.scoped_pairs)
+        wanted = usage.series_items(self.scoped_pairs).select("itemid")
         return current.current_samples(self.tables.history_uint, wanted, self.as_of, self.small)
 
     @cached_property

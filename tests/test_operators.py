@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetgauge import TBN, Stages, all_bands_report, resolve_window
 from fleetgauge.operators.lookup import fits_broadcast, lookup_join, measured_bytes
 from fleetgauge.operators.nearest_rank import nearest_rank, rank_within, value_at_rank
+from fleetgauge.operators.settle import settle
 from tests.golden import AS_OF, GIB, ROLLING, golden_tables, local_frame
 
 
@@ -129,3 +130,14 @@ def test_repeated_bucket_without_partner_is_dropped(spark):
     tables = golden_tables(spark, trends_uint=[(111, AS_OF - 60, 1), (111, AS_OF - 60, 2)])
     found = Stages(tables, TBN, resolve_window(**ROLLING), AS_OF).detail
     assert found.filter(f"clock = {AS_OF - 60}").count() == 0
+
+
+def test_settled_data_is_stored_in_the_named_folder_and_measured(spark):
+    df = local_frame(spark, [(1, "abc"), (2, None)], "k long, s string")
+    stored, size = settle(df)
+    assert size == measured_bytes(df) == measured_bytes(stored)
+    assert sorted(map(tuple, stored.collect())) == [(1, "abc"), (2, None)]
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert all(path.startswith(f"file://{folder}/settled-") for path in stored.inputFiles())
+    empty, size = settle(df.filter("k > 9"))
+    assert (empty.count(), size) == (0, 0)

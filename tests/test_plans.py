@@ -2,8 +2,16 @@ import re
 
 import pytest
 
-from fleetgauge import TBN, UNPRIORITIZED, Stages, all_bands_report, read_telemetry, resolve_window
-from fleetgauge import write_telemetry
+from fleetgauge import (
+    TBN,
+    UNPRIORITIZED,
+    Stages,
+    all_bands_report,
+    read_telemetry,
+    resolve_window,
+    write_telemetry,
+)
+from fleetgauge.__main__ import main
 from fleetgauge.catalogue import queries
 from tests.golden import AS_OF, ROLLING, golden_tables
 
@@ -66,3 +74,10 @@ def test_no_query_multiplies_rows_or_leaves_the_jvm(spark, name):
     plan = plan_of(queries()[name](spark, SF))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "InPandas"):
         assert operator not in plan
+
+
+def test_command_line_writes_the_report(spark, golden, tmp_path):
+    write_telemetry(golden, f"{tmp_path}/tables")
+    choice = ["--tables", f"{tmp_path}/tables", "--as-of", str(AS_OF), "--threshold", ">70.00 AND <=80.00"]
+    main([*choice, "--out", f"{tmp_path}/report"])
+    assert [r.vm for r in spark.read.parquet(f"{tmp_path}/report").collect()] == ["vm-a"]

@@ -50,7 +50,7 @@ def clock_range(df: DataFrame, start: int | None = None, end: int | None = None)
     if end is not None:
         df = df.filter(F.col("clock") < end)
         if by_date:
-            df = df.filter(F.col(DATE_PARTITION) <= F.lit(_utc_date(end)))
+            df = df.filter(F.col(DATE_PARTITION) <= F.lit(_utc_date(end - 1)))
     return df
 
 

@@ -24,6 +24,7 @@ FACTS = ("trends_uint", "history_uint")
 class Telemetry:
     """Group, host, membership and item tables, bucket averages and raw samples.
 
+    A fact table with a ``dt`` column must hold the UTC date of ``clock`` there.
     Keys: ``groupid``, ``hostid``, ``(hostid, groupid)``, ``itemid`` and, for
     the bucket averages, ``(itemid, clock)``. Raw samples have no key.
     """

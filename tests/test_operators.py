@@ -3,11 +3,15 @@ import random
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetgauge import TBN, Stages, all_bands_report, resolve_window
+from fleetgauge.operators.latest import latest_per_key
 from fleetgauge.operators.lookup import fits_broadcast, lookup_join, measured_bytes
+from fleetgauge.operators.means import mean_of_daily_means
 from fleetgauge.operators.nearest_rank import nearest_rank, rank_within, value_at_rank
+from fleetgauge.operators.pairing import paired_ratio
 from fleetgauge.operators.settle import settle
 from tests.golden import AS_OF, GIB, ROLLING, golden_tables, local_frame
 
@@ -141,3 +145,24 @@ def test_settled_data_is_stored_in_the_named_folder_and_measured(spark):
     assert all(path.startswith(f"file://{folder}/settled-") for path in stored.inputFiles())
     empty, size = settle(df.filter("k > 9"))
     assert (empty.count(), size) == (0, 0)
+
+
+def test_latest_per_key_equals_the_first_ranked_row(spark):
+    rng = random.Random(3)
+    data = [(rng.randrange(30) if i % 3 else 0, rng.randrange(60), rng.randrange(9)) for i in range(3000)]
+    data += [(77, None, 5), (78, 4, None)]
+    df = local_frame(spark, data, "k long, clock long, v long")
+    order = Window.partitionBy("k").orderBy(F.desc("clock"), F.desc("v"))
+    in_range = df.filter((F.col("clock") >= 3) & (F.col("clock") < 50))
+    ranked = in_range.withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn")
+    found = latest_per_key(df, ["k"], "clock", "v", since=3, until=50)
+    assert sorted(found.collect()) == sorted(ranked.collect())
+
+
+def test_paired_ratio_and_mean_of_daily_means(spark):
+    data = [(1, 1, 30), (1, 2, 70), (1, 1, 10), (2, 1, 5), (3, 1, 0), (3, 2, 0)]
+    df = local_frame(spark, data, "k long, side long, v long")
+    found = paired_ratio(df, ["k"], F.col("side") == 1, F.col("side") == 2, F.col("v")).collect()
+    assert sorted(map(tuple, found)) == [(1, 40, 70, 40 / 110 * 100), (3, 0, 0, None)]
+    days = local_frame(spark, [(1, 1, 10), (1, 1, 20), (1, 2, 45), (1, 3, None)], "k long, d long, v long")
+    assert mean_of_daily_means(days, ["k"], "d", ["v"]).first().avg_v == 30.0

@@ -13,6 +13,7 @@ from fleetgauge import (
 )
 from fleetgauge.__main__ import main
 from fleetgauge.catalogue import queries
+from fleetgauge.sources.tables import SCHEMAS, Telemetry
 from tests.golden import AS_OF, ROLLING, golden_tables
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +40,15 @@ def test_stored_tables_give_the_same_report(golden, stored):
     assert all_bands_report(stored, TBN, **ROLLING).collect() == expected
 
 
+def test_catalogue_tables(spark, golden):
+    for name in SCHEMAS:
+        getattr(golden, name).createOrReplaceTempView(name)
+    tables = Telemetry.from_tables(spark)
+    assert all_bands_report(tables, TBN, **ROLLING).count() == 2
+    for name in SCHEMAS:
+        spark.catalog.dropTempView(name)
+
+
 def test_report_reads_the_buckets_once_and_only_the_window(stored):
     plan = plan_of(all_bands_report(stored, TBN, **ROLLING))
     assert scans(plan, "trends_uint") == 1

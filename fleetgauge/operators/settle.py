@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -10,18 +11,24 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from fleetgauge.operators.lookup import data_bytes, measured_bytes
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="fleetgauge-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``.
 
-    Only a local session that names none gets a temporary one.
+    Else the context's checkpoint folder. Only a local session that names
+    neither gets a temporary one.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="fleetgauge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return _local_folder()
 
 
 def settle(df: DataFrame) -> tuple[DataFrame, int]:

@@ -1,5 +1,6 @@
 import math
 import random
+from unittest.mock import Mock
 
 import pytest
 from pyspark.errors import PySparkException
@@ -12,7 +13,7 @@ from fleetgauge.operators.lookup import fits_broadcast, lookup_join, measured_by
 from fleetgauge.operators.means import mean_of_daily_means
 from fleetgauge.operators.nearest_rank import nearest_rank, rank_within, value_at_rank
 from fleetgauge.operators.pairing import paired_ratio
-from fleetgauge.operators.settle import settle
+from fleetgauge.operators.settle import settle, shared_folder
 from tests.golden import AS_OF, GIB, ROLLING, golden_tables, local_frame
 
 
@@ -166,3 +167,18 @@ def test_paired_ratio_and_mean_of_daily_means(spark):
     assert sorted(map(tuple, found)) == [(1, 40, 70, 40 / 110 * 100), (3, 0, 0, None)]
     days = local_frame(spark, [(1, 1, 10), (1, 1, 20), (1, 2, 45), (1, 3, None)], "k long, d long, v long")
     assert mean_of_daily_means(days, ["k"], "d", ["v"]).first().avg_v == 30.0
+
+
+def test_only_a_local_session_gets_a_temporary_folder():
+    session = Mock()
+    session.conf.get.return_value = None
+    session.sparkContext.getCheckpointDir.return_value = None
+    session.sparkContext.master = "yarn"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session)
+    session.sparkContext.master = "local[4]"
+    assert shared_folder(session) == shared_folder(session)
+    session.sparkContext.getCheckpointDir.return_value = "hdfs://shared/one"
+    assert shared_folder(session) == "hdfs://shared/one"
+    session.conf.get.return_value = "hdfs://shared/two"
+    assert shared_folder(session) == "hdfs://shared/two"

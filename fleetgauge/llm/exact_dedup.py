@@ -17,11 +17,10 @@ Repeated rows are copies of each other. Other columns, whatever their names, are
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.shared import checked_join, keep, lower_ascii, shared_folder
+from fleetgauge.llm.shared import checked_join, keep, located, lower_ascii, shared_folder
 
 #: Arrivals that one micro-batch takes from the stream.
 BATCH_BYTES = 64 << 30
@@ -34,15 +33,6 @@ _SETTINGS = {
 }
 
 
-def _located(docs: DataFrame) -> DataFrame:
-    """``docs`` with its locator: a frame that isn't read from files is written first."""
-    where = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    try:
-        return docs.withColumn("__at", where)
-    except AnalysisException:
-        return keep(docs).withColumn("__at", where)
-
-
 def _streamed(arrivals: DataFrame, batch_bytes: int) -> tuple[DataFrame, DataFrame]:
     """State after the stream of all arrivals (digest, group_size, keep_id, keep_at); the arrivals."""
     spark = arrivals.sparkSession
@@ -110,7 +100,7 @@ def _collided(texts: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def _decided(docs: DataFrame, digest, batch_bytes: int) -> tuple[DataFrame, DataFrame]:
-    rows = _located(docs)
+    rows = located(docs)
     text = lower_ascii(F.col("text"))
     texts = rows.select(digest(text).alias("digest"), "doc_id", F.col("__at").alias("at"), text.alias("text"))
     state, arrivals = _streamed(texts.drop("text"), batch_bytes)

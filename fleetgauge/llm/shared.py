@@ -8,6 +8,7 @@ from functools import cache
 from uuid import uuid4
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,18 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``__at`` that tells its rows apart: the file and place of each.
+
+    A frame that isn't read from files is written first.
+    """
+    where = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    try:
+        return docs.withColumn("__at", where)
+    except AnalysisException:
+        return keep(docs).withColumn("__at", where)
+
+
 def fits(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether all of ``df``'s rows, at ``row_bytes`` each, may go to every executor."""
     return df.count() * row_bytes <= limit

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import decontaminate, exact_dedup, html_text, packing, secret_scan, toxicity, url_filter
+from fleetgauge.llm import (
+    decontaminate,
+    exact_dedup,
+    html_text,
+    language_model,
+    near_dedup,
+    packing,
+    repeats,
+    secret_scan,
+    toxicity,
+    url_filter,
+)
 from fleetgauge.llm.shared import LOWER, UPPER, crc_mod
 
 #: The rules of ``op2_url_filter``.
@@ -88,10 +99,33 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod(F.col("doc_id"), 10) == 0
+    model = language_model.fit(docs, ~held_out)
+    return language_model.score(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.known.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"))
@@ -114,7 +148,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op3_html_text,
             op4_exact_dedup,
             op5_secret_scan,
+            op6_repeats,
+            op7_language_model,
             op8_packing,
+            op9_near_dedup,
             op10_decontaminate,
         )
     }

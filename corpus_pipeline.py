@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import decontaminate, exact_dedup, packing, queries, toxicity
+from fleetgauge.llm import decontaminate, exact_dedup, near_dedup, packing, queries, toxicity
 from fleetgauge.llm.shared import keep
 
 
@@ -19,6 +19,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, the one with the largest id."""
+    return near_dedup.drop_near_copies(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of the benchmark."""
     return decontaminate.drop_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
@@ -32,6 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
     ("packing", pack),
 ]

@@ -14,7 +14,7 @@ POWER_UNKNOWN = "Unknown"
 
 def gib(size: Column) -> Column:
     """Bytes to GiB."""
-    return size / GIB
+    return size.cast("double") / GIB
 
 
 def share_pct(part: Column, rest: Column) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-SLICES = 32
 
 _TEXT = (T.StringType, T.BinaryType)
 _FIXED_WIDTH = 8
@@ -53,28 +52,16 @@ def sized(df: DataFrame, small: bool) -> DataFrame:
 
 
 def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: str,
-    *,
-    small: bool,
-    spread: Column,
-    how: str = "inner",
-    slices: int = SLICES,
+    facts: DataFrame, lookup: DataFrame, on: str, *, small: bool, how: str = "inner"
 ) -> DataFrame:
     """Join every row of ``facts`` to its matches in ``lookup``.
 
     A lookup that was measured to be ``small`` (see ``fits_broadcast``) is
-    broadcast and ``facts`` does not move. Any other is copied into ``slices``
-    and the facts are dealt over them by ``spread``, so the rows of one hot key
-    go to many tasks. Each fact row meets exactly one copy, so inner, left,
-    semi and anti joins keep their meaning. The hint keeps Spark from
-    broadcasting the copies on an estimate that does not count them.
+    broadcast and ``facts`` does not move. Any other meets the facts in a
+    shuffled merge join, where adaptive execution splits the rows of a hot key
+    over many tasks as their size asks for. The hint keeps Spark from
+    broadcasting on an estimate.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"cannot slice a {how} join")
-    if small:
-        return facts.join(F.broadcast(lookup), on, how)
-    dealt = facts.withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(slices)).cast("int"))
-    copies = lookup.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    return dealt.join(copies.hint("shuffle_merge"), [on, "_slice"], how).drop("_slice")
+        raise ValueError(f"cannot split the facts of a {how} join")
+    return facts.join(F.broadcast(lookup) if small else lookup.hint("shuffle_merge"), on, how)

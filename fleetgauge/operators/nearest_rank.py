@@ -12,7 +12,6 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.operators.lookup import lookup_join, within_limit
 from fleetgauge.operators.settle import settle
 
 
@@ -32,8 +31,12 @@ def rank_within(
 
 
 def rank_position(count: Column, q: float) -> Column:
-    """Position of the nearest-rank percentile among ``count`` rows, in exact arithmetic."""
-    return F.ceil(count * F.lit(Decimal(str(q)))).cast("long")
+    """Position of the nearest-rank percentile among ``count`` rows, in exact arithmetic.
+
+    The first one for ``q`` = 0.
+    """
+    exact = F.ceil(count * F.lit(Decimal(str(q)))).cast("long")
+    return F.greatest(exact, F.lit(1).cast("long"))
 
 
 def value_at_rank(value: str, q: float) -> Column:
@@ -41,69 +44,42 @@ def value_at_rank(value: str, q: float) -> Column:
     return F.max(F.when(F.col("rn") == rank_position(F.col("cnt"), q), F.col(value)))
 
 
-def nearest_rank(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    q: float,
-    *,
-    broadcast_bytes: int | None = None,
-) -> DataFrame:
-    """Exact percentile per key for groups of any size.
-
-    No task ever sorts a whole group, and the rows themselves are not shuffled
-    while a row per key fits a broadcast. Approximate percentiles a little to
-    each side of ``q`` cut every group into a few ranges; exact counts per range
-    tell which one holds the wanted position; only the values of that range are
-    counted and ranked. The approximation decides how narrow the range is, not
-    the answer. The input is read three times.
+def nearest_rank(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
+    """Exact percentile per key for groups of any size, with one read of the input.
+
+    Equal values of a key are counted first, on the map side, so a frequent value (or NULL)
+    is one row. The counts are dealt into sorted ranges of (key, value), so a key with many
+    values lies in several of them, and kept. Their sums per range tell which range of a key
+    holds the wanted position, and only that part of the key is ranked: never more than a
+    range, and ranges are as many as there are shuffle partitions.
     """
-    steps = (-0.01, -0.001, 0.001, 0.01)
-    cuts = sorted({min(max(q + step, 0.0), 1.0) for step in steps})
-    names = [f"_cut{i}" for i in range(len(cuts))]
-    rows = df.select(F.struct(*keys).alias("_key"), F.col(value).alias("_value"))
-
-    totals = rows.groupBy("_key").agg(
-        rank_position(F.count(F.lit(1)), q).alias("_position"),
-        F.percentile_approx("_value", cuts).alias("_cuts"),
+    counted = (
+        df.select(F.struct(*keys).alias("_key"), F.col(value).alias("_value"))
+        .groupBy("_key", "_value")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    # One row per key, needed for its size and by both steps: computed once.
-    totals, size = settle(
-        totals.select(
-            "_key", "_position", *[F.get("_cuts", F.lit(i)).alias(n) for i, n in enumerate(names)]
+    ranges, _ = settle(
+        counted.repartitionByRange("_key", F.col("_value").asc_nulls_first()).withColumn(
+            "_range", F.spark_partition_id()
         )
     )
-    small = within_limit(size, broadcast_bytes)
-    passed = [F.coalesce((F.col("_value") > F.col(n)).cast("int"), F.lit(0)) for n in names]
-    range_of = F.when(F.col("_value").isNull(), -1).otherwise(sum(passed[1:], passed[0]))
-
-    # A few rows per key: the range that holds the position, and the rank within it.
-    placed = lookup_join(rows, totals, "_key", small=small, spread=F.col("_value"))
-    ranges = placed.groupBy("_key", range_of.alias("_range")).agg(
-        F.count(F.lit(1)).alias("_size"), F.first("_position").alias("_position")
-    )
     upwards = Window.partitionBy("_key").orderBy("_range")
-    ranges = ranges.withColumn("_before", F.sum("_size").over(upwards) - F.col("_size"))
-    target = ranges.filter(
-        (F.col("_before") < F.col("_position"))
-        & (F.col("_position") <= F.col("_before") + F.col("_size"))
-    ).select(
-        "_key",
-        F.col("_range").alias("_target"),
-        (F.col("_position") - F.col("_before")).alias("_rank"),
-    )
-
-    # The values of that range, equal ones counted together.
-    bounds = totals.drop("_position").join(target, "_key")
-    inside = lookup_join(rows, bounds, "_key", small=small, spread=F.col("_value"))
-    counted = (
-        inside.filter(range_of == F.col("_target"))
-        .groupBy("_key", "_rank", "_value")
-        .agg(F.count(F.lit(1)).alias("_n"))
+    sums = (
+        ranges.groupBy("_key", "_range")
+        .agg(F.sum("_n").alias("_size"))
+        .withColumn("_upto", F.sum("_size").over(upwards))
+        .withColumn(
+            "_position", rank_position(F.sum("_size").over(Window.partitionBy("_key")), q)
+        )
     )
-    rising = Window.partitionBy("_key", "_rank").orderBy(F.col("_value").asc_nulls_first())
-    reached = counted.withColumn("_reached", F.sum("_n").over(rising)).filter(
-        F.col("_reached") >= F.col("_rank")
+    before = F.col("_upto") - F.col("_size")
+    target = sums.filter(
+        (before < F.col("_position")) & (F.col("_position") <= F.col("_upto"))
+    ).select("_key", "_range", (F.col("_position") - before).alias("_rank"))
+    rising = Window.partitionBy("_key", "_range").orderBy(F.col("_value").asc_nulls_first())
+    reached = (
+        ranges.join(target, ["_key", "_range"])
+        .withColumn("_reached", F.sum("_n").over(rising))
+        .filter((F.col("_reached") >= F.col("_rank")) & (F.col("_reached") - F.col("_n") < F.col("_rank")))
     )
-    picked = reached.groupBy("_key", "_rank").agg(F.min("_value").alias("_picked"))
-    return picked.select("_key.*", F.col("_picked").alias("percentile"))
+    return reached.select("_key.*", F.col("_value").alias("percentile"))

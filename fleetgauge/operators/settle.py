@@ -1,46 +1,17 @@
-"""Compute an intermediate result once and keep it where executors can be lost."""
+"""Compute an intermediate result once."""
 
 from __future__ import annotations
 
-import tempfile
-from functools import cache
-from uuid import uuid4
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-
-from fleetgauge.operators.lookup import data_bytes, measured_bytes
-
-
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="fleetgauge-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``.
-
-    Else the context's checkpoint folder. Only a local session that names
-    neither gets a temporary one.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_folder()
+from fleetgauge.operators.lookup import measured_bytes
 
 
 def settle(df: DataFrame) -> tuple[DataFrame, int]:
-    """Write ``df`` to the shared folder; returns it read back, and its data size.
+    """Keep ``df`` with the executors, and measure its data size by one job.
 
-    Later plans start from the files, however many of them there are. The size
-    is observed during the write.
+    Nothing is written to any folder. The lineage stays: what a lost executor
+    held is computed again, and so is all of it after ``unpersist``.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid4().hex}"
-    observed = Observation()
-    df.observe(observed, data_bytes(df.schema).alias("bytes")).write.parquet(path)
-    stored = spark.read.schema(df.schema).parquet(path)
-    size = observed.get.get("bytes")
-    return stored, measured_bytes(stored) if size is None else size
+    stored = df.persist()
+    return stored, measured_bytes(stored)

@@ -16,7 +16,7 @@ from fleetgauge.params import BANDS, TimeWindow
 from fleetgauge.plans.current import pairs_with_sides
 from fleetgauge.plans.items import SIZE_ROLES, has_any_role, size_items
 from fleetgauge.plans.stages import Stages
-from fleetgauge.plans.usage import both_sides, name_series
+from fleetgauge.plans.usage import name_series, side_counts
 
 
 def unpaired(items: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def clock_skew(stages: Stages) -> DataFrame:
     """Buckets per filesystem that have both sides, and those lost for lack of one."""
     used, free = F.col("n_first") > 0, F.col("n_second") > 0
     counts = (
-        both_sides(stages.series_rows, stages.window.tz)
+        side_counts(stages.series_rows, stages.window.tz)
         .groupBy("series_id")
         .agg(
             F.count_if(used & free).alias("aligned"),

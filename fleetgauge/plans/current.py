@@ -7,41 +7,39 @@ from pyspark.sql import functions as F
 
 from fleetgauge.functions.clocks import clock_range
 from fleetgauge.functions.measures import share_pct
-from fleetgauge.operators.latest import latest_per_key
+from fleetgauge.operators.latest import latest
 from fleetgauge.operators.lookup import sized
 from fleetgauge.params import CURRENT_LOOKBACK, POWER_LOOKBACK
 from fleetgauge.plans.usage import series_items
 
 
-def latest_samples(
-    history: DataFrame,
-    wanted: DataFrame,
-    since: int,
-    until: int | None = None,
-    *,
-    small: bool,
-) -> DataFrame:
-    """``itemid, clock, value``: latest sample of each wanted item in ``[since, until)``.
+def recent_samples(history: DataFrame, wanted: DataFrame, as_of: int, small: bool) -> DataFrame:
+    """Latest samples of the wanted items by one read: ``itemid, now, power``.
 
-    The largest value counts when clocks tie. An item list measured to be
-    ``small`` filters the scan. Otherwise all items are reduced to one row
-    first, which combines on the map side, and joined after that.
+    ``now`` is the latest of the last six hours (a sample stamped after ``as_of`` counts),
+    ``power`` of the last hour, strictly before ``as_of``. Both are ``clock, value``; ``power``
+    is NULL where there is none.
     """
-    rows = clock_range(history, since, until).select("itemid", "clock", "value")
+    rows = clock_range(history, as_of - CURRENT_LOOKBACK).select("itemid", "clock", "value")
     if small:
         rows = rows.join(F.broadcast(wanted), "itemid", "left_semi")
-    found = latest_per_key(rows, ["itemid"], "clock", "value")
+    clock = F.col("clock")
+    last_hour = (clock >= as_of - POWER_LOOKBACK) & (clock < as_of)
+    found = rows.groupBy("itemid").agg(
+        latest("clock", "value").alias("now"),
+        latest("clock", "value", last_hour).alias("power"),
+    )
     return found if small else found.join(wanted, "itemid", "left_semi")
 
 
-def current_samples(history: DataFrame, wanted: DataFrame, as_of: int, small: bool) -> DataFrame:
-    """Latest samples of the last six hours; a sample stamped after ``as_of`` counts."""
-    return latest_samples(history, wanted, as_of - CURRENT_LOOKBACK, small=small)
+def current_samples(samples: DataFrame) -> DataFrame:
+    """``itemid, clock, value`` of the six-hour look-back."""
+    return samples.select("itemid", "now.clock", "now.value")
 
 
-def power_samples(history: DataFrame, wanted: DataFrame, as_of: int, small: bool) -> DataFrame:
-    """Latest samples of the last hour, strictly before ``as_of``."""
-    return latest_samples(history, wanted, as_of - POWER_LOOKBACK, as_of, small=small)
+def power_samples(samples: DataFrame) -> DataFrame:
+    """``itemid, clock, value`` of the one-hour look-back."""
+    return samples.filter(F.col("power").isNotNull()).select("itemid", "power.clock", "power.value")
 
 
 def latest_clock(samples: DataFrame) -> DataFrame:

@@ -99,8 +99,7 @@ def members(items: DataFrame, scope: DataFrame, small: bool) -> DataFrame:
         .filter(power | F.col("partition_name").isNotNull())
         .withColumn("power_itemid", F.when(power, F.col("itemid")))
     )
-    # Spread by item: one host may hold a large part of the catalogue.
-    known = lookup_join(known, scope, "hostid", small=small, spread=F.col("itemid"))
+    known = lookup_join(known, scope, "hostid", small=small)
     keys = ["hostid", "vm_name", "partition_name", "power_itemid"]
     return _pairs(known, keys).filter(F.col("power_itemid").isNotNull() | _both_sides())
 

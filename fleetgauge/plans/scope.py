@@ -44,8 +44,5 @@ def hosts_in_scope(
 
 
 def _members(hosts_groups: DataFrame, groups: DataFrame, small: bool) -> DataFrame:
-    # Spread by host: one group may hold a large part of the memberships.
-    chosen = lookup_join(
-        hosts_groups, groups, "groupid", small=small, spread=F.col("hostid"), how="left_semi"
-    )
+    chosen = lookup_join(hosts_groups, groups, "groupid", small=small, how="left_semi")
     return chosen.select("hostid").distinct()

@@ -1,4 +1,8 @@
-"""All stages of one report, each a lazy DataFrame that can be inspected."""
+"""All stages of one report, each a DataFrame that can be inspected.
+
+The first stage that needs the hosts in scope measures the hosts and computes the pairs and
+power items in scope, which are kept for the later stages; all else is lazy.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +29,6 @@ class Stages:
         as_of: int,
         *,
         q: float = P95,
-        unique_buckets: bool = True,
         broadcast_bytes: int | None = None,
     ):
         self.tables = tables
@@ -33,7 +36,6 @@ class Stages:
         self.window = window
         self.as_of = as_of
         self.q = q
-        self.unique_buckets = unique_buckets
         self.broadcast_bytes = broadcast_bytes
 
     @cached_property
@@ -97,7 +99,7 @@ class Stages:
     @cached_property
     def buckets(self) -> DataFrame:
         """Aligned buckets in scope by series."""
-        return usage.usage_buckets(self.series_rows, self.window.tz, self.unique_buckets)
+        return usage.usage_buckets(self.series_rows, self.window.tz)
 
     @cached_property
     def days(self) -> DataFrame:
@@ -134,19 +136,38 @@ class Stages:
         """Percentiles in scope."""
         return usage.p95(self.summary, self.scoped_pairs, self.small)
 
+    @cached_property
+    def _fleet_items(self) -> tuple[DataFrame, int]:
+        """Paired and power items of the fleet: ``itemid, hostid`` with a NULL host if paired."""
+        paired = self.need_itemids.select("itemid", F.lit(None).cast("long").alias("hostid"))
+        return settle(paired.unionByName(self.power_items))
+
+    @cached_property
+    def _fleet_recent(self) -> DataFrame:
+        wanted, size = self._fleet_items
+        small = within_limit(size, self.broadcast_bytes)
+        items = wanted.select("itemid").distinct()
+        recent = current.recent_samples(self.tables.history_uint, items, self.as_of, small)
+        return recent.persist()
+
+    @cached_property
+    def _scoped_recent(self) -> DataFrame:
+        """One read of the samples, kept, for the current values and the power states in scope."""
+        items = usage.series_items(self.scoped_pairs).select("itemid")
+        wanted = items.union(self.scoped_power_items.select("itemid")).distinct()
+        recent = current.recent_samples(self.tables.history_uint, wanted, self.as_of, self.small)
+        return recent.persist()
+
     @cached_property
     def fleet_samples(self) -> DataFrame:
         """Latest sample of every paired item of the fleet."""
-        small = fits_broadcast(self.need_itemids, self.broadcast_bytes)
-        return current.current_samples(
-            self.tables.history_uint, self.need_itemids, self.as_of, small
-        )
+        paired = self._fleet_items[0].filter("hostid IS NULL").select("itemid")
+        return current.current_samples(self._fleet_recent).join(paired, "itemid", "left_semi")
 
     @cached_property
     def scoped_samples(self) -> DataFrame:
-        """Latest sample of the paired items in scope."""
-        wanted = usage.series_items(self.scoped_pairs).select("itemid")
-        return current.current_samples(self.tables.history_uint, wanted, self.as_of, self.small)
+        """Latest sample of the items in scope."""
+        return current.current_samples(self._scoped_recent)
 
     @cached_property
     def last_clock(self) -> DataFrame:
@@ -166,19 +187,16 @@ class Stages:
     @cached_property
     def scoped_power(self) -> DataFrame:
         """Power state of the hosts in scope."""
-        return self._power(self.scoped_power_items, self.small)
+        samples = current.power_samples(self._scoped_recent)
+        return current.power_state(self.scoped_power_items, samples, self.small)
 
     @cached_property
     def power_state(self) -> DataFrame:
         """Power state of the whole fleet."""
-        return self._power(
-            self.power_items, fits_broadcast(self.power_items, self.broadcast_bytes)
-        )
-
-    def _power(self, power_items: DataFrame, small: bool) -> DataFrame:
-        wanted = power_items.select("itemid")
-        samples = current.power_samples(self.tables.history_uint, wanted, self.as_of, small)
-        return current.power_state(power_items, samples, small)
+        items, size = self._fleet_items
+        power = items.filter("hostid IS NOT NULL")
+        samples = current.power_samples(self._fleet_recent)
+        return current.power_state(power, samples, within_limit(size, self.broadcast_bytes))
 
     def inspect(self, stage: str, limit: int = 10, **equal) -> DataFrame:
         """A few rows of a stage, for a look at it: ``inspect("item_pair", hostid=10)``."""

@@ -41,56 +41,51 @@ def series_rows(
     ``small`` says that ``pairs`` was measured to fit a broadcast.
     """
     rows = clock_range(trends, window.start, window.end).select("itemid", "clock", "value_avg")
-    tagged = lookup_join(
-        rows, series_items(pairs), "itemid", small=small, spread=F.col("clock")
-    )
+    tagged = lookup_join(rows, series_items(pairs), "itemid", small=small)
     return tagged.select("series_id", "is_used", "clock", "value_avg")
 
 
-def both_sides(rows: DataFrame, tz: str) -> DataFrame:
-    """``first``/``second`` (used/free) values and row counts per series and bucket.
+def by_series_and_day(rows: DataFrame, tz: str) -> DataFrame:
+    """The rows in one exchange by series and day, which also serves the daily means.
 
-    One read and one exchange. It is by series and day, which also serves the
-    daily means; the day itself is added after it, so it is not shuffled. A day
-    has 86400 clock values, so with one row per item and clock a group stays
-    near 172800 rows however much a series collects.
+    The day itself is added after it, so it is not shuffled.
     """
-    used = F.col("is_used")
     day = local_day(F.col("clock"), tz)
-    by_day = rows.repartition("series_id", day).withColumn("day", day)
+    return rows.repartition("series_id", day).withColumn("day", day)
+
+
+def side_counts(rows: DataFrame, tz: str) -> DataFrame:
+    """``n_first``/``n_second``: rows of the used and the free side per series and bucket."""
+    used = F.col("is_used")
     return pivot_sides(
-        by_day, ["series_id", "day", "clock"], used, ~used, F.col("value_avg"), F.max
+        by_series_and_day(rows, tz), ["series_id", "day", "clock"], used, ~used, F.lit(None), F.max
     )
 
 
-def usage_buckets(rows: DataFrame, tz: str, unique_buckets: bool = True) -> DataFrame:
+def usage_buckets(rows: DataFrame, tz: str) -> DataFrame:
     """``series_id, day, clock, used_gib, free_gib, usage_pct`` per aligned bucket.
 
-    A bucket needs a row of each side at the same clock. ``(itemid, clock)`` is
-    the table's key; should a row repeat, the query fails rather than merge the
-    repeats. ``unique_buckets=False`` joins the two sides instead, which reads
-    the table twice and keeps every combination of repeated rows.
+    A bucket needs a row of each side at the same clock; should rows repeat,
+    every combination of theirs is a row. One read and one exchange: the values
+    of a bucket's free side are gathered next to each of its used rows. A day
+    has 86400 clock values, and a bucket has one value a side unless rows repeat.
     """
-    if unique_buckets:
-        sides = both_sides(rows, tz)
-        repeated = (F.col("n_first") > 1) | (F.col("n_second") > 1)
-        failure = F.raise_error(F.lit("repeated (itemid, clock): use unique_buckets=False"))
-        aligned = (
-            sides.filter((F.col("n_first") > 0) & (F.col("n_second") > 0))
-            .filter(F.when(repeated, failure.cast("boolean")).otherwise(True))
-            .withColumnsRenamed({"first": "used", "second": "free"})
+    keys = ["series_id", "day", "clock"]
+    side = F.col("is_used")
+    value = F.struct(F.col("value_avg").alias("v"))
+    gathered = (
+        by_series_and_day(rows, tz)
+        .groupBy(*keys)
+        .agg(
+            F.collect_list(F.when(side, value)).alias("used"),
+            F.collect_list(F.when(~side, value)).alias("free"),
         )
-    else:
-        used = rows.filter("is_used").select(
-            "series_id",
-            local_day(F.col("clock"), tz).alias("day"),
-            "clock",
-            F.col("value_avg").alias("used"),
-        )
-        free = rows.filter(~F.col("is_used")).select(
-            "series_id", "clock", F.col("value_avg").alias("free")
-        )
-        aligned = used.join(free, ["series_id", "clock"])
+    )
+    aligned = (
+        gathered.select(*keys, F.explode("used").alias("u"), "free")
+        .select(*keys, "u", F.explode("free").alias("f"))
+        .select(*keys, F.col("u.v").alias("used"), F.col("f.v").alias("free"))
+    )
     return aligned.select(
         "series_id",
         "day",
@@ -136,10 +131,8 @@ def name_series(
 
 
 def usage_detail(buckets: DataFrame, pairs: DataFrame, small: bool) -> DataFrame:
-    """Every aligned bucket with names; as many rows as the facts, so hot series are spread."""
-    named = lookup_join(
-        buckets, _names(pairs), "series_id", small=small, spread=F.col("clock")
-    )
+    """Every aligned bucket with names."""
+    named = lookup_join(buckets, _names(pairs), "series_id", small=small)
     return named.select(
         "hostid",
         "vm_name",

@@ -6,6 +6,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetgauge.functions.clocks import DATE_PARTITION, local_day
 
@@ -20,13 +21,30 @@ SCHEMAS = {
 FACTS = ("trends_uint", "history_uint")
 
 
+def typed(df: DataFrame, table: str) -> DataFrame:
+    """``df`` with the table's columns in their types, and the date column if it has one.
+
+    Exports bring the source's unsigned numbers as decimals. A missing column is an error
+    here, a value that does not fit its type when it is read.
+    """
+    wanted = T.StructType.fromDDL(SCHEMAS[table])
+    missing = [field.name for field in wanted if field.name not in df.columns]
+    if missing:
+        raise ValueError(f"{table} has no column {', '.join(missing)}")
+    columns = [
+        F.col(f.name) if df.schema[f.name].dataType == f.dataType else F.col(f.name).cast(f.dataType).alias(f.name)
+        for f in wanted
+    ]
+    return df.select(*columns, *([DATE_PARTITION] if DATE_PARTITION in df.columns else []))
+
+
 @dataclass(frozen=True)
 class Telemetry:
     """Group, host, membership and item tables, bucket averages and raw samples.
 
     A fact table with a ``dt`` column must hold the UTC date of ``clock`` there.
-    Keys: ``groupid``, ``hostid``, ``(hostid, groupid)``, ``itemid`` and, for
-    the bucket averages, ``(itemid, clock)``. Raw samples have no key.
+    Keys: ``groupid``, ``hostid``, ``(hostid, groupid)``, ``itemid``. Bucket averages have
+    one row per ``(itemid, clock)`` as a rule, raw samples have no key.
     """
 
     hstgrp: DataFrame
@@ -40,12 +58,12 @@ class Telemetry:
     def from_tables(cls, spark: SparkSession, database: str | None = None) -> Telemetry:
         """Tables or views of the session's catalogue."""
         prefix = f"{database}." if database else ""
-        return cls(**{name: spark.table(prefix + name) for name in SCHEMAS})
+        return cls(**{name: typed(spark.table(prefix + name), name) for name in SCHEMAS})
 
 
 def read_telemetry(spark: SparkSession, root: str) -> Telemetry:
     """Parquet tables under ``root``, plain or partitioned as ``write_telemetry`` does."""
-    return Telemetry(**{name: spark.read.parquet(f"{root}/{name}") for name in SCHEMAS})
+    return Telemetry(**{name: typed(spark.read.parquet(f"{root}/{name}"), name) for name in SCHEMAS})
 
 
 def write_telemetry(tables: Telemetry, root: str, mode: str = "errorifexists") -> None:

@@ -27,7 +27,15 @@ def stored(spark, tmp_path_factory):
 
 
 def plan_of(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The plan's own nodes, without those that made a kept result."""
+    lines, inside = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-|"))
+        if inside is not None and depth > inside:
+            continue
+        inside = depth if "InMemoryRelation" in line else None
+        lines.append(line)
+    return "\n".join(lines)
 
 
 def scans(plan, table):
@@ -58,6 +66,15 @@ def test_report_reads_the_buckets_once_and_only_the_window(stored):
     assert "ReadSchema: struct<itemid:bigint,clock:bigint,value_avg:bigint>" in trends
 
 
+def test_report_reads_the_samples_once(stored):
+    report = all_bands_report(stored, TBN, **ROLLING)
+    whole = report._jdf.queryExecution().executedPlan().toString()
+    # Current values and power states come from one kept result, which alone reads the samples.
+    assert scans(plan_of(report), "history_uint") == 0
+    kept = [line for line in whole.splitlines() if "history_uint]" in line]
+    assert len(set(re.sub(r"#\d+L?", "", line).strip(" :+-|*()0123456789") for line in kept)) == 1
+
+
 def test_one_exchange_serves_buckets_and_days(stored):
     stages = Stages(stored, TBN, resolve_window(**ROLLING), AS_OF)
     assert plan_of(stages.days).count("Exchange hashpartitioning") == 1

@@ -11,7 +11,7 @@ from fleetgauge.operators.latest import latest_per_key
 from fleetgauge.operators.means import mean_of_daily_means
 from fleetgauge.operators.nearest_rank import nearest_rank
 from fleetgauge.operators.pairing import paired_ratio
-from fleetgauge.params import CURRENT_LOOKBACK, P95, ROLLING_CHOICE, SCOPES, TBN, resolve_window
+from fleetgauge.params import P95, ROLLING_CHOICE, SCOPES, TBN, resolve_window
 from fleetgauge.plans import checks
 from fleetgauge.plans.report import all_bands_report, disk_report
 from fleetgauge.plans.stages import Stages
@@ -19,7 +19,7 @@ from fleetgauge.sources.lens import epoch, lens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-AS_OF = 1706659200  # 2024-01-31 00:00:00 UTC, just after the last event
+AS_OF = 1705708800  # 2024-01-20 00:00:00 UTC: the rolling window and January cut the data at both ends
 ROLLING = {"time_range": ROLLING_CHOICE, "as_of": AS_OF}
 MONTHLY = {"time_range": "2024-01", "year": 2024, "month": 1, "as_of": AS_OF}
 DIGITS = 6
@@ -72,8 +72,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gen_latest_event_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir).withColumn("clock", epoch(F.col("ts")))
-    since = AS_OF - CURRENT_LOOKBACK
-    return rounded(latest_per_key(events, ["user_id"], "clock", "value", since=since))
+    return rounded(latest_per_key(events, ["user_id"], "clock", "value"))
 
 
 def gen_nearest_rank_price(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,10 +39,11 @@ def _samples(events: DataFrame) -> DataFrame:
         ),
         "value",
     )
-    # The used side is larger than the free side by a factor of the host.
+    # A third of the hosts is 20 days early, a third 20 days late. The used side is larger than
+    # the free side by a factor of the host.
     return rows.selectExpr(
         "hostid",
-        "clock",
+        "clock + (hostid % 3 - 1) * 1728000 AS clock",
         "k",
         "CASE WHEN k = 5 THEN floor(value) % 4"
         " ELSE floor(value * 100) * 10737418 * IF(k IN (1, 3),"
@@ -104,12 +105,14 @@ def lens(spark: SparkSession, sf_dir: str) -> Telemetry:
         hstgrp=nation.selectExpr(
             "bigint(n_nationkey) AS groupid",
             "element_at(array('TBN App', 'TBN DB', 'TBN SAP', '01_Critical', 'TBN 01-Critical',"
-            " '03_High', 'TBN Web', 'Other'), n_nationkey % 8 + 1) AS name",
+            " '02_Very High', '03_High', '04_Medium', '05_Low', 'TBN Web', 'Other'),"
+            " n_nationkey % 11 + 1) AS name",
         ),
         hosts=supplier.selectExpr(
             "s_suppkey AS hostid",
-            "concat(CASE s_suppkey % 10 WHEN 7 THEN 'tbn-com-hp' WHEN 9 THEN 'VC02 - tbn-com-lnv'"
-            " ELSE 'vm-' END, s_suppkey) AS name",
+            "concat(CASE s_suppkey % 20 WHEN 7 THEN 'tbn-com-hp' WHEN 9 THEN 'VC02 - tbn-com-lnv'"
+            " WHEN 13 THEN 'tbn-com-mdm' WHEN 16 THEN 'VC02 - tbn-mgt-lnv' ELSE 'vm-' END, s_suppkey)"
+            " AS name",
         ),
         hosts_groups=supplier.selectExpr(
             "s_suppkey AS hostid",

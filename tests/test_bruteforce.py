@@ -10,12 +10,16 @@ import pyarrow.parquet as pq
 import pytest
 
 from fleetgauge import SCOPES, Stages, all_bands_report, resolve_window
+from fleetgauge.catalogue import AS_OF, ROLLING
 from fleetgauge.sources.lens import lens
-from tests.golden import AS_OF, ROLLING
 
 EPOCH = datetime(1970, 1, 1)
 TIERS = re.compile("SAP|01_Critical|02_Very High|03_High|04_Medium|05_Low")
-GROUPS = ["TBN App", "TBN DB", "TBN SAP", "01_Critical", "TBN 01-Critical", "03_High", "TBN Web", "Other"]
+GROUPS = [
+    "TBN App", "TBN DB", "TBN SAP", "01_Critical", "TBN 01-Critical", "02_Very High", "03_High",
+    "04_Medium", "05_Low", "TBN Web", "Other",
+]
+PREFIXES = {7: "tbn-com-hp", 9: "VC02 - tbn-com-lnv", 13: "tbn-com-mdm", 16: "VC02 - tbn-mgt-lnv"}
 
 
 def rows(sf, table):
@@ -26,18 +30,18 @@ class Fleet:
     """The lens tables as dictionaries."""
 
     def __init__(self, sf):
-        names = {r["n_nationkey"]: GROUPS[r["n_nationkey"] % 8] for r in rows(sf, "nation")}
+        names = {r["n_nationkey"]: GROUPS[r["n_nationkey"] % 11] for r in rows(sf, "nation")}
         self.hosts, self.groups = {}, {}
         for r in rows(sf, "supplier"):
             key, home = r["s_suppkey"], r["s_nationkey"]
-            prefix = {7: "tbn-com-hp", 9: "VC02 - tbn-com-lnv"}.get(key % 10, "vm-")
+            prefix = PREFIXES.get(key % 20, "vm-")
             self.hosts[key] = f"{prefix}{key}"
             self.groups[key] = {names[home], names[(home + key) % 25]}
         self.samples = defaultdict(list)
         kinds = {"click": 1, "view": 2, "purchase": 3, "signup": 4}
         for r in rows(sf, "events"):
             host, k = r["user_id"] // 4, kinds.get(r["event_type"], 5)
-            clock = math.floor((r["ts"] - EPOCH).total_seconds())
+            clock = math.floor((r["ts"] - EPOCH).total_seconds()) + (host % 3 - 1) * 1728000
             value = math.floor(r["value"]) % 4 if k == 5 else math.floor(r["value"] * 100) * 10737418
             if k in (1, 3):
                 value *= (1, 2, 4, 8, 40)[host % 5]

@@ -1,4 +1,5 @@
 import __spark_entry__ as contract
+from fleetgauge import catalogue, oracle
 
 
 def test_entry(spark):
@@ -8,4 +9,5 @@ def test_entry(spark):
 
 
 def test_contract_keys():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert contract.oracle_sql().keys() <= contract.queries().keys()
+    assert catalogue.queries().keys() == oracle.oracle_sql().keys()

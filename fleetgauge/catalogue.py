@@ -57,8 +57,14 @@ def _report(scope: str, threshold: str, choice: dict = ROLLING) -> Query:
     )
 
 
+def _all_bands(scope: str, choice: dict = ROLLING) -> Query:
+    return lambda spark, sf_dir: rounded(
+        all_bands_report(lens(spark, sf_dir), SCOPES[scope], **choice)
+    )
+
+
 def report_all_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(all_bands_report(lens(spark, sf_dir), TBN, **ROLLING))
+    return _all_bands("tbn")(spark, sf_dir)
 
 
 def param_time_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +122,9 @@ def queries() -> dict[str, Query]:
         "report_unprioritized": _report("unprioritized", ">80.00 AND <=90.00"),
         "report_tbn_monthly": _report("tbn", ">90.00", MONTHLY),
         "report_all_bands": report_all_bands,
+        **{f"report_all_bands_{scope}": _all_bands(scope) for scope in ("critical", "unprioritized")},
+        **{f"report_all_bands_{scope}_monthly": _all_bands(scope, MONTHLY) for scope in SCOPES},
+        "usage_daily_jakarta": _stage("daily", {**ROLLING, "tz": "Asia/Jakarta"}),
         "diag_unpaired": _item_check(checks.unpaired),
         "diag_key_format": _item_check(checks.key_format),
         "diag_stale_items": _check(checks.stale_items),

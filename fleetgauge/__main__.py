@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--month", type=int)
     p.add_argument("--as-of", type=int, help="epoch seconds; the present without it")
     p.add_argument("--tz", default="UTC")
+    p.add_argument("--broadcast-bytes", type=int, help="most bytes of a lookup that is broadcast")
     return p
 
 
@@ -35,6 +36,7 @@ def main(argv: list[str] | None = None) -> None:
         "year": args.year,
         "month": args.month,
         "tz": args.tz,
+        "broadcast_bytes": args.broadcast_bytes,
     }
     tables, policy = read_telemetry(spark, args.tables), SCOPES[args.scope]
     if args.threshold is None:

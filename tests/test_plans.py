@@ -106,5 +106,5 @@ def test_no_query_multiplies_rows_or_leaves_the_jvm(spark, name):
 def test_command_line_writes_the_report(spark, golden, tmp_path):
     write_telemetry(golden, f"{tmp_path}/tables")
     choice = ["--tables", f"{tmp_path}/tables", "--as-of", str(AS_OF), "--threshold", ">70.00 AND <=80.00"]
-    main([*choice, "--out", f"{tmp_path}/report"])
+    main([*choice, "--out", f"{tmp_path}/report", "--broadcast-bytes", "1000"])
     assert [r.vm for r in spark.read.parquet(f"{tmp_path}/report").collect()] == ["vm-a"]

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -38,12 +39,14 @@ RANKED = 20_000
 LEAST_SALTS = 256
 
 #: Most words whose ids a Python worker remembers, over tasks.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Characters of texts that are encoded together.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 
-_PIECES = "array<struct<start:bigint,length:bigint,ids_crc32:bigint>>"
-_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
+_PIECES = "array<struct<start:bigint,length:bigint,ids_crc32:bigint,doc_tokens:bigint>>"
+_ARROW = pa.list_(
+    pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
+)
 
 
 _VALUE = np.random.default_rng(11).integers(1, 1 << 63, 0x180, np.uint64)
@@ -72,8 +75,10 @@ class Tokenizer:
     encoded whole. Words are remembered by 64-bit hashes.
     """
 
-    #: Characters whose cutting or case is not sure to be alike here and there; marks of special tokens.
-    _UNSURE = re.compile("[\x1c-\x1f\u0130\u0180-\U0010ffff]|<\\|")
+    #: Marks of special tokens, and white space that isn't alike here and there.
+    _MARKS = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+    #: Characters whose cutting or case isn't sure to be alike.
+    _FAR = re.compile("[\u0130\u0180-\U0010ffff]")
     _PROBE = "It's  WE'LL ÀÉñ²3x!?'s\n\xa0ŒUVRE's--42 ,q'd ''t 'tis Ŀ·l´ '"
 
     def __init__(self, path: str):
@@ -117,15 +122,25 @@ class Tokenizer:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new = [(h, text[a:b]) for h, a, b in zip(hashes, begin, end, strict=True) if h not in known]
-        encoded = self.words.encode_batch_fast([w for _, w in new], add_special_tokens=False)
-        for (h, _), code in zip(new, encoded, strict=True):
-            known[h] = np.array(code.ids, "<u4").tobytes()
-        return [known[h] for h in hashes]
+        codes = list(map(known.get, hashes))
+        new = [i for i, code in enumerate(codes) if code is None]
+        encoded = self.words.encode_batch_fast([text[begin[i] : end[i]] for i in new], add_special_tokens=False)
+        for i, code in zip(new, encoded, strict=True):
+            codes[i] = known[hashes[i]] = struct.pack(f"<{len(code)}I", *code.ids)
+        return codes
+
+    def _sure(self, text: str) -> bool:
+        if any(mark in text for mark in self._MARKS):
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self._FAR.search(text) is None
+        return True
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the file's own rules give them."""
-        sure = [self.by_word and not self._UNSURE.search(text) for text in texts]
+        sure = [self.by_word and self._sure(text) for text in texts]
         known = iter(self._by_word([text for text, s in zip(texts, sure, strict=True) if s]))
         return [next(known) if s else self._whole(text) for text, s in zip(texts, sure, strict=True)]
 
@@ -178,7 +193,10 @@ def _tokenised(path: str, end_id: int, length: int):
                     ids = np.append(found, np.uint32(end_id)).astype("<u4")
                     parts = [(s, ids[s : s + length]) for s in range(0, len(ids), length)]
                     rows.append(
-                        [{"start": s, "length": len(p), "ids_crc32": zlib.crc32(p.tobytes())} for s, p in parts]
+                        [
+                            {"start": s, "length": len(p), "ids_crc32": zlib.crc32(p.tobytes()), "doc_tokens": len(ids)}
+                            for s, p in parts
+                        ]
                     )
             yield pa.array(rows, _ARROW)
 
@@ -281,10 +299,7 @@ def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 2, length: int = LEN
     if length >= 1 << 15:
         raise ValueError("a sequence has less than 32768 tokens")
     cut = _tokenised(vocabulary, end_id, length)
-    rows = docs.select("doc_id", cut(F.col("text")).alias("pieces"))
-    last = F.element_at("pieces", -1)
-    tokens = (last["start"] + last["length"]).alias("doc_tokens")
-    pieces = keep(rows.select("doc_id", tokens, F.inline("pieces")))
+    pieces = keep(docs.select("doc_id", F.inline(cut(F.col("text")))))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     found = slots(patterns(histogram, length))
     salts = max(LEAST_SALTS, sum(histogram.values()) // RANKED)

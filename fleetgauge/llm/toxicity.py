@@ -32,7 +32,9 @@ from fleetgauge.llm.shared import powers
 BUCKETS = 1 << 17
 WIDTH = 4
 GRAMS = (3, 5)
+#: Passes over the sample, and minibatch steps at least: a small sample is passed more often.
 EPOCHS = 5
+STEPS = 400
 BATCH = 128
 RATE = 2.0
 #: Texts a table row must be seen in to be learned, and the weight against rare rows.
@@ -41,8 +43,8 @@ NEUTRAL = 20
 PRIOR = 2
 
 #: Bounds of the sample that the model is fitted to: rows, and bytes of their texts.
-SAMPLE_ROWS = 16_384
-SAMPLE_BYTES = 48 << 20
+SAMPLE_ROWS = 12_288
+SAMPLE_BYTES = 24 << 20
 
 THRESHOLD = 0.7
 
@@ -111,6 +113,16 @@ class Model:
         return np.add.reduceat(self.share[rows].astype(np.float64), begin) / count
 
 
+def _rows_of(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(table rows of all words' grams, number of each word's), some words at a time."""
+    rows, sizes = [], []
+    for start in range(0, len(words), 20_000):
+        some, begin = buckets_of(words[start : start + 20_000], buckets)
+        rows.append(some.astype(np.int32))
+        sizes.append(np.diff(np.r_[begin, len(some)]))
+    return (np.concatenate(rows), np.concatenate(sizes)) if rows else (np.empty(0, np.int32), np.empty(0, np.int64))
+
+
 def _gathered(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The places begin .. begin + count of every entry, one entry after another."""
     ends = np.cumsum(count)
@@ -141,16 +153,17 @@ def train(
     for text in texts:
         found = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], np.int64)
         own, count = np.unique(found, return_counts=True)
-        bags.append((own, shares(count)))
-    rows, begin = buckets_of(list(vocabulary), buckets)
-    size = np.diff(np.r_[begin, len(rows)])
+        bags.append((own.astype(np.int32), shares(count)))
+    del texts
+    rows, size = _rows_of(list(vocabulary), buckets)
+    begin = np.cumsum(size) - size
     seen = np.zeros(buckets)
     for own, _ in bags:
         if len(own):
             seen[np.unique(rows[_gathered(begin[own], size[own])])] += 1
     # Words keep the grams that are learned; the mean still counts all of them.
     learned = (seen >= LEAST_SEEN)[rows]
-    kept = np.add.reduceat(learned, begin)
+    kept = np.add.reduceat(learned.astype(np.int64), begin)
     rows = rows[learned]
     at = np.cumsum(kept) - kept
     reach = (seen / (seen + PRIOR)).astype(np.float32)[:, None] * (seen >= LEAST_SEEN)[:, None]
@@ -159,6 +172,7 @@ def train(
     bias = np.zeros(2, np.float32)
     squares = [np.full((buckets, 1), 1e-8, np.float32), np.full_like(softmax, 1e-6), np.full_like(bias, 1e-6)]
     filled = [i for i, (own, _) in enumerate(bags) if len(own)]
+    epochs = max(epochs, -(-STEPS * BATCH // max(1, len(filled))))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         order = random.permutation(filled)
@@ -221,7 +235,9 @@ def fit(
 ) -> Model:
     """A model of the labelled rows that ``chosen`` (over ``labels``) takes."""
     found = sample(docs, labels, chosen, rows, most_bytes).toArrow()
-    return train(found["text"].to_pylist(), found["toxic"].to_pylist())
+    texts, toxic = found["text"].to_pylist(), found["toxic"].to_pylist()
+    del found
+    return train(texts, toxic)
 
 
 def with_score(docs: DataFrame, model: Model, *, into: str = "score", text: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from fleetgauge.llm import (
     toxicity,
     url_filter,
 )
-from fleetgauge.llm.shared import LOWER, UPPER, crc_mod
+from fleetgauge.llm.shared import LOWER, UPPER, crc_mod, reachable
 
 #: The rules of ``op2_url_filter``.
 URL_RULES = (
@@ -35,6 +35,7 @@ TOXICITY_HELD_OUT = 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -153,7 +153,7 @@ def scan_secrets(docs: DataFrame, rules: Iterable[Rule] = BASE + MORE) -> DataFr
             spans = [
                 [{"kind": kind_of[i], "start": a, "end": b} for a, i, b in row] for row in shipped.value.spans(texts)
             ]
-            columns = [pa.array(ids), pa.array(spans, pa.list_(arrow_span))]
+            columns = [ids, pa.array(spans, pa.list_(arrow_span))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, schema)

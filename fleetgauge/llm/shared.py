@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
+from pathlib import Path
 from uuid import uuid4
 
 import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +34,18 @@ def _test_folder() -> str:
     return tempfile.mkdtemp(prefix="fleetgauge-llm-")
 
 
+def reachable(spark: SparkSession) -> None:
+    """Python workers started from now on also look for this package where the driver found it.
+
+    On a cluster that has it elsewhere (``--py-files``) this changes nothing.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), root])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that ``spark.checkpoint.dir`` names.
 
@@ -62,6 +78,18 @@ def located(docs: DataFrame) -> DataFrame:
         return keep(docs).withColumn("__at", where)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Python workers get at most ``most`` rows at once from what runs inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fits(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether all of ``df``'s rows, at ``row_bytes`` each, may go to every executor."""
     return df.count() * row_bytes <= limit
@@ -94,25 +122,26 @@ def crc_mod(doc_id: Column, divisor: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), divisor)
 
 
-def text_rows(batches: Iterator, most: int = 8 << 20) -> Iterator[tuple[list, list[bytes]]]:
-    """Arrow batches of (id, text) as lists of ids and UTF-8 texts of about ``most`` bytes.
+def text_rows(batches: Iterator, most: int = 8 << 20) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Arrow batches of (id, text) as ids and UTF-8 texts of about ``most`` bytes.
 
     Null texts are empty. A text longer than ``most`` comes alone.
     """
     ids: list = []
     texts: list[bytes] = []
-    size = 0
+    size, kind = 0, None
     for batch in batches:
+        kind = batch.column(0).type
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             data = (text or "").encode()
             if ids and size + len(data) > most:
-                yield ids, texts
+                yield pa.array(ids, kind), texts
                 ids, texts, size = [], [], 0
             ids.append(key)
             texts.append(data)
             size += len(data)
     if ids:
-        yield ids, texts
+        yield pa.array(ids, kind), texts
 
 
 _POWERS: dict[int, np.ndarray] = {}

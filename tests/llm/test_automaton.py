@@ -46,6 +46,7 @@ def test_every_row_has_its_spans(spark):
     assert spans[50] == [("assign", 2, 15)]
     assert spans[51] == []
     assert scan_secrets(documents(spark, [])).collect() == []
+    assert [tuple(r) for r in scan_secrets(documents(spark, [(None, None)])).collect()] == [(None, [])]
 
 
 def test_anchored_and_reversed():

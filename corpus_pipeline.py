@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetgauge.llm import decontaminate, exact_dedup, near_dedup, packing, queries, toxicity
-from fleetgauge.llm.shared import keep
+from fleetgauge.llm.shared import keep, reachable
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,6 +21,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, the one with the largest id."""
+    reachable(spark)
     return near_dedup.drop_near_copies(docs)
 
 
@@ -31,6 +32,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces and their places in sequences."""
+    reachable(spark)
     return packing.pack(docs, queries.vocabulary())
 
 

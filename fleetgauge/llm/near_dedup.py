@@ -4,15 +4,16 @@ A text is its words (A-Z lower-cased) and its 5-word shingles, labelled by how o
 occurred before. A sketch takes the least ``PICKED`` labelled shingles under one hash function and
 joins them in the order they have in the text, so that it is sensitive to moves as the edit
 similarity is. Texts with ``COMMON`` equal sketches out of ``SKETCHES`` are candidates, and a banded
-alignment of the words decides: the shingles that lie in aligned runs, over all shingles of
-both texts, must be at least ``SIMILARITY``.
+alignment decides: a longest chain of common shingles that rises in both texts, within a band of
+diagonals. The words it covers must be at least ``SIMILARITY`` of both texts' words, and it must
+hold no less than ``SHARED`` of their shingles. Two texts with 0.8 of their 5-word shingles in common, in order, always pass.
 
 Equal word sequences are one text from the start. Equal sketches make buckets, and no bucket
 is compared pair by pair. The text that meets most others is its bucket's pivot, and all
 members are compared to it. Then connected components are taken, and buckets within one
 component are done. The others are divided by a further common sketch, and again while they
-are large, and pivots are compared to all members that are in another component until none
-is left. No bucket is cut off, none is held by one task, and no pair is left out that shares
+are large, and pivots, members of small components first, are compared to all members that are
+in another component until none is left. No bucket is cut off, none is held by one task, and no pair is left out that shares
 the sketches asked for.
 
 Defined cases: texts without words (also null and empty ones) are alone in their classes. A
@@ -23,6 +24,7 @@ long texts are whole. Other columns are kept by ``drop_near_copies``.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -34,19 +36,23 @@ from pyspark.sql import types as T
 
 from fleetgauge.llm.components import components
 from fleetgauge.llm.decontaminate import Words
-from fleetgauge.llm.shared import checked_join, keep, located
+from fleetgauge.llm.shared import arrow_rows, checked_join, keep, located
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Share of common shingles below which no alignment is tried.
+SHARED = 0.5
 SKETCHES = 20
 PICKED = 3
 #: Equal sketches that make two texts candidates. A pair at the similarity has 20 * 0.8 ** 3 = 10 on average.
 COMMON = 2
 #: Members beyond which a bucket is divided again, as often as ``DEEPEST`` common sketches.
-DIVIDED = 200
+DIVIDED = 32
 DEEPEST = 4
 #: Pivots of a bucket in each round after the first.
-PIVOTS = 16
+PIVOTS = 32
+#: Pairs of texts that a Python worker gets at once.
+PAIRS_AT_ONCE = 200
 
 SHARD_BYTES = 2 << 20
 
@@ -91,8 +97,7 @@ def occurrences(values: np.ndarray) -> np.ndarray:
 
 def order_sketches(found: np.ndarray) -> list[int]:
     """The sketches of a text's shingles; equal only for the same sketch number."""
-    labelled = found + _mixed(occurrences(found).astype(np.uint64) + np.uint64(77)) * np.uint64(len(found) > 0)
-    ranks = _mixed(labelled[None, :] ^ _SEEDS[:, None])
+    ranks = _mixed(labelled(found)[None, :] ^ _SEEDS[:, None])
     if len(found) > PICKED:
         picked = np.sort(np.argpartition(ranks, PICKED - 1, axis=1)[:, :PICKED], axis=1)
     else:
@@ -138,74 +143,68 @@ def _sequence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(out, pa.binary())
 
 
-def aligned_runs(a: list[int], b: list[int], most: int) -> list[int] | None:
-    """Lengths of the runs of equal words in an alignment of least edits, or None beyond ``most``.
+def longest_rising(values: list[int]) -> list[int]:
+    """Places of a longest strictly rising subsequence."""
+    tops: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    for place, value in enumerate(values):
+        at = bisect.bisect_left(tops, value)
+        before.append(ends[at - 1] if at else -1)
+        if at == len(tops):
+            tops.append(value)
+            ends.append(place)
+        else:
+            tops[at], ends[at] = value, place
+    found = []
+    place = ends[-1] if ends else -1
+    while place >= 0:
+        found.append(place)
+        place = before[place]
+    return found[::-1]
+
+
+def labelled(found: np.ndarray) -> np.ndarray:
+    """Shingles made different by how often each occurred before."""
+    return found + _mixed(occurrences(found).astype(np.uint64) + np.uint64(77))
+
 
-    Furthest-reaching points on a band of diagonals that widens with the number of edits.
+def banded_alignment(one: np.ndarray, two: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the shingles that an alignment of two labelled shingle sequences matches.
+
+    A longest chain of equal shingles that rises in both sequences, among the matches whose
+    places differ by at most ``band``.
     """
-    n, m = len(a), len(b)
-    reach = {1: 0}
-    trace = []
-    for edits in range(most + 1):
-        now = {}
-        for k in range(-edits, edits + 1, 2):
-            if k < -m or k > n:
-                continue
-            down = k == -edits or (k != edits and reach.get(k - 1, -1) < reach.get(k + 1, -1))
-            x = reach.get(k + 1, 0) if down else reach.get(k - 1, -1) + 1
-            start = x
-            y = x - k
-            if y < 0 or x > n or y > m:
-                continue
-            while x < n and y < m and a[x] == b[y]:
-                x += 1
-                y += 1
-            now[k] = x
-            trace.append((edits, k, start, x, down))
-            if x >= n and y >= m:
-                return _runs(trace)
-        reach = now
-    return None
-
-
-def _runs(trace: list[tuple[int, int, int, int, bool]]) -> list[int]:
-    """Lengths of the diagonal runs on the way to the last point of ``trace``."""
-    points = {(edits, k): (start, end, down) for edits, k, start, end, down in trace}
-    edits, k = trace[-1][0], trace[-1][1]
-    runs = []
-    while edits >= 0:
-        start, end, down = points[edits, k]
-        runs.append(end - start)
-        k += 1 if down else -1
-        edits -= 1
-    return runs
+    _, i, j = np.intersect1d(one, two, assume_unique=True, return_indices=True)
+    inside = np.abs(i - j) <= band
+    i, j = i[inside], j[inside]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    if len(j) > 1 and not (j[1:] > j[:-1]).all():
+        chain = longest_rising(j.tolist())
+        i, j = i[chain], j[chain]
+    return i, j
+
+
+def _covered(places: np.ndarray, words: int) -> int:
+    """Words that the shingles at rising ``places`` cover."""
+    return min(words, int(np.minimum(np.diff(places), SHINGLE).sum()) + SHINGLE) if len(places) else 0
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Aligned shingles over all shingles of two word sequences; 0.0 where it is surely below ``least``."""
+    """Share of words in aligned shingles of two word sequences; 0.0 where it is surely below ``least``."""
     if not len(a) or not len(b):
         return 0.0
     if np.array_equal(a, b):
         return 1.0
-    if min(len(a), len(b)) < SHINGLE:
+    words = len(a) + len(b)
+    if min(len(a), len(b)) < SHINGLE or 2 * min(len(a), len(b)) < least * words:
         return 0.0
-    sizes = len(a) - SHINGLE + 1, len(b) - SHINGLE + 1
-    if min(sizes) < least * max(sizes):
+    # Words left out shift an alignment, and no more than all that may be left out.
+    i, j = banded_alignment(labelled(shingles(a)), labelled(shingles(b)), int(words * (1 - least)) + 1)
+    if len(i) < SHARED * (words - 2 * (SHINGLE - 1) - len(i)):
         return 0.0
-    # No alignment keeps more shingles than both have, by their numbers.
-    first, count = np.unique(shingles(a), return_counts=True)
-    second, others = np.unique(shingles(b), return_counts=True)
-    _, i, j = np.intersect1d(first, second, assume_unique=True, return_indices=True)
-    shared = int(np.minimum(count[i], others[j]).sum())
-    if shared < least * (sum(sizes) - shared):
-        return 0.0
-    # Every word left out of a text costs it a shingle at least.
-    most = int(sum(sizes) * (1 - least) / (1 + least)) + 1
-    runs = aligned_runs(a.tolist(), b.tolist(), most)
-    if runs is None:
-        return 0.0
-    kept = sum(max(0, run - SHINGLE + 1) for run in runs)
-    return kept / (sum(sizes) - kept)
+    return (_covered(i, len(a)) + _covered(j, len(b))) / words
 
 
 @F.arrow_udf(T.BooleanType())
@@ -233,7 +232,11 @@ class _Classes:
     def buckets(self) -> DataFrame:
         """(key, last, content): texts by sketch, where at least two share it."""
         each = self.classes.select("content", F.posexplode("sketches").alias("last", "key"))
-        return self._shared(each.select("key", "last", "content"))
+        members = self._shared(each.select("key", "last", "content"))
+        # Only texts that share a sketch are looked at again.
+        some = members.select("content").distinct()
+        self.classes = keep(self.classes.join(some.hint("shuffle_merge"), "content", "left_semi"))
+        return members
 
     @staticmethod
     def _shared(members: DataFrame) -> DataFrame:
@@ -269,15 +272,19 @@ class _Classes:
 
     def compare(self, members: DataFrame, pivots: int) -> DataFrame:
         """One round: the pivots against all members of other components; members without the pivots."""
-        degree = members.groupBy("content").agg(F.sum("size").alias("degree"))
-        ranked = members.join(degree.hint("shuffle_merge"), "content")
-        first = F.struct("degree", F.xxhash64("content", "key").alias("tie"), "content", "component")
+        tie = F.xxhash64("content", "key").alias("tie")
         if pivots == 1:
+            degree = members.groupBy("content").agg(F.sum("size").alias("degree"))
+            ranked = members.join(degree.hint("shuffle_merge"), "content")
+            first = F.struct("degree", tie, "content", "component")
             best = ranked.groupBy("key").agg(F.array(F.max(first)).alias("best"))
         else:
-            best = ranked.groupBy("key", F.pmod(F.xxhash64("content"), F.lit(pivots)).alias("part")).agg(
-                F.max(first).alias("best")
-            )
+            # Members of small components first: a bucket is done when all but one are compared.
+            alike = members.groupBy("key", "component").agg(F.count("*").alias("alike"))
+            ranked = members.join(alike.hint("shuffle_merge"), ["key", "component"])
+            first = F.struct((-F.col("alike")).alias("alike"), tie, "content", "component")
+            part = F.pmod(F.xxhash64("content"), F.lit(pivots)).alias("part")
+            best = ranked.groupBy("key", part).agg(F.max(first).alias("best"))
             best = best.groupBy("key").agg(F.collect_list("best").alias("best"))
         chosen = keep(best.select("key", F.explode("best").alias("p")).select("key", "p.content", "p.component"))
         pairs = (
@@ -289,34 +296,36 @@ class _Classes:
         )
         if self.compared is not None:
             pairs = pairs.join(self.compared, ["u", "v"], "left_anti")
-        self._verify(keep(pairs))
+        self._verify(keep(pairs), sure=pivots > 1)
         return members.join(
             chosen.select("key", "content").hint("shuffle_merge"), ["key", "content"], "left_anti"
         )
 
-    def _verify(self, pairs: DataFrame) -> None:
-        one = self.classes.select(F.col("content").alias("u"), F.col("sketches").alias("su"), F.col("n").alias("nu"))
-        two = self.classes.select(F.col("content").alias("v"), F.col("sketches").alias("sv"), F.col("n").alias("nv"))
-        close = F.least("nu", "nv") - (SHINGLE - 1) >= SIMILARITY * (F.greatest("nu", "nv") - (SHINGLE - 1))
-        short = F.least("nu", "nv") < SHINGLE
-        candidates = keep(
-            pairs.join(one.hint("shuffle_merge"), "u")
-            .join(two.hint("shuffle_merge"), "v")
-            .filter((close | short) & (F.size(F.array_intersect("su", "sv")) >= COMMON))
-            .select("u", "v")
-        )
+    def _verify(self, pairs: DataFrame, sure: bool) -> None:
+        """Align the pairs; ``sure`` says that they are known to share ``COMMON`` sketches."""
+        candidates = pairs
+        if not sure:
+            one = self.classes.select(F.col("content").alias("u"), F.col("sketches").alias("su"))
+            two = self.classes.select(F.col("content").alias("v"), F.col("sketches").alias("sv"))
+            candidates = keep(
+                pairs.join(one.hint("shuffle_merge"), "u")
+                .join(two.hint("shuffle_merge"), "v")
+                .filter(F.size(F.array_intersect("su", "sv")) >= COMMON)
+                .select("u", "v")
+            )
         wanted = keep(candidates.select(F.explode(F.array("u", "v")).alias("content")).distinct())
-        sequences = keep(self.sequences_of(wanted))
-        found = (
-            candidates.join(sequences.select(F.col("content").alias("u"), F.col("sequence").alias("a")), "u")
-            .join(sequences.select(F.col("content").alias("v"), F.col("sequence").alias("b")), "v")
-            .filter(_alike(F.col("a"), F.col("b")))
-            .select("u", "v")
-        )
-        found = keep(found)
-        self.edges = found if self.edges is None else self.edges.unionByName(found)
+        with arrow_rows(pairs.sparkSession, PAIRS_AT_ONCE):
+            sequences = keep(self.sequences_of(wanted))
+            found = keep(
+                candidates.join(sequences.select(F.col("content").alias("u"), F.col("sequence").alias("a")), "u")
+                .join(sequences.select(F.col("content").alias("v"), F.col("sequence").alias("b")), "v")
+                .filter(_alike(F.col("a"), F.col("b")))
+                .select("u", "v")
+            )
         self.compared = pairs if self.compared is None else self.compared.unionByName(pairs)
-        self.named = keep(components(self.edges))
+        if not found.isEmpty():
+            self.edges = found if self.edges is None else self.edges.unionByName(found)
+            self.named = keep(components(self.edges))
 
     def run(self) -> DataFrame:
         """(node, component) of all texts that have a near copy."""

@@ -46,24 +46,16 @@ def test_texts_with_most_shingles_in_common_are_similar():
         assert found >= 0.8 if true >= 0.8 else true >= 0.5 or found == 0
 
 
-def runs_by_table(a, b):
-    """Lengths of the runs of a longest common subsequence's alignment with the fewest edits."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = 1 + best[i + 1][j + 1] if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    return len(a) + len(b) - 2 * best[0][0]
-
-
-def test_the_alignment_has_the_fewest_edits():
+def test_the_chain_is_a_longest_one():
     rng = random.Random(8)
     for _ in range(200):
-        a = [rng.randrange(6) for _ in range(rng.randint(0, 25))]
-        b = [rng.randrange(6) for _ in range(rng.randint(0, 25))]
-        edits = runs_by_table(a, b)
-        runs = nd.aligned_runs(a, b, edits)
-        assert len(a) + len(b) - 2 * sum(runs) == edits
-        assert edits == 0 or nd.aligned_runs(a, b, edits - 1) is None
+        values = [rng.randrange(30) for _ in range(rng.randint(0, 25))]
+        longest = [1] * len(values)
+        for i, value in enumerate(values):
+            longest[i] += max((longest[j] for j in range(i) if values[j] < value), default=0)
+        chain = [values[i] for i in nd.longest_rising(values)]
+        assert all(x < y for x, y in zip(chain, chain[1:]))
+        assert len(chain) == max(longest, default=0)
 
 
 def test_moved_blocks_are_not_similar():

@@ -40,7 +40,7 @@ MER = 100
 #: Places of the anchor in a window.
 SPREAD = WINDOW - MER + 1
 #: Segments of one anchor that are built together; beyond, windows are counted by digests.
-TOGETHER = 2_000
+TOGETHER = 16_000
 #: Bytes of segments in one construction.
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 1 << 20
@@ -331,15 +331,9 @@ def _removed(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator
     for column, whole, marked in batches:
         out = []
         for text, all_of_it, spans in zip(_bytes(column), whole.to_pylist(), marked.to_pylist(), strict=True):
-            merged: list[list[int]] = []
+            merged = spans or []
             if all_of_it:
                 merged = [[0, len(text)]] if len(text) >= WINDOW else []
-            else:
-                for low, high in sorted((s["low"], s["high"]) for s in spans or []):
-                    if merged and low <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], high)
-                    else:
-                        merged.append([low, high])
             bounds = [0, *(p for span in merged for p in span), len(text)]
             kept = hashlib.sha256()
             for low, high in zip(bounds[::2], bounds[1::2], strict=True):
@@ -356,6 +350,22 @@ def _removed(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator
         yield pa.array(out, kind)
 
 
+def _merged(spans: list[dict]) -> list[list[int]]:
+    merged: list[list[int]] = []
+    for low, high in sorted((s["low"], s["high"]) for s in spans):
+        if merged and low <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], high)
+        else:
+            merged.append([low, high])
+    return merged
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.LongType())))
+def _merged_spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in batches:
+        yield pa.array([_merged(spans) for spans in column.to_pylist()], pa.list_(pa.list_(pa.int64())))
+
+
 def _repeated_spans(texts: DataFrame, most_known: int, together: int) -> DataFrame:
     """(digest, low, high) of repeated windows in ``texts`` (digest, text), which are all different."""
     spark = texts.sparkSession
@@ -386,15 +396,39 @@ def _repeated_spans(texts: DataFrame, most_known: int, together: int) -> DataFra
     segments = keep(segments)
     rare = checked_join(segments, frequent, "anchor", "left_anti", 8)
     often = checked_join(segments, frequent, "anchor", "left_semi", 8)
-    windows = often.select("digest", "start", F.posexplode(_window_digests(F.col("data"))).alias("i", "w")).select(
-        "digest", (F.col("start") + F.col("i")).alias("low"), "w.a", "w.b"
+    return _constructed(rare).unionByName(_counted(often))
+
+
+def _counted(often: DataFrame) -> DataFrame:
+    """Spans of repeated windows in segments of very frequent anchors, by counts.
+
+    Equal segments are counted first: all windows of theirs are repeated. The windows of the
+    different ones are counted by their digests, and looked up for segments that occur once.
+    """
+    keyed = keep(often.select("digest", "start", F.unhex(F.md5("data")).alias("segment"), "data"))
+    groups = keep(
+        keyed.groupBy("segment").agg(
+            F.count("*").alias("n"),
+            F.first("data").alias("data"),
+            F.first("digest").alias("digest"),
+            F.first("start").alias("start"),
+        )
+    )
+    many = groups.filter("n > 1").select("segment")
+    low, high = F.col("start").alias("low"), (F.col("start") + F.length("data")).alias("high")
+    whole = keyed.join(many.hint("shuffle_merge"), "segment").select("digest", low, high)
+    windows = keep(
+        groups.select("n", "digest", "start", F.posexplode(_window_digests(F.col("data"))).alias("i", "w")).select(
+            "n", "digest", (F.col("start") + F.col("i")).alias("low"), "w.a", "w.b"
+        )
     )
-    windows = keep(windows)
-    twice = windows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
-    counted_spans = windows.join(twice.hint("shuffle_merge"), ["a", "b"]).select(
-        "digest", "low", (F.col("low") + WINDOW).alias("high")
+    twice = windows.groupBy("a", "b").agg(F.sum("n").alias("times")).filter("times > 1").select("a", "b")
+    single = (
+        windows.filter("n = 1")
+        .join(twice.hint("shuffle_merge"), ["a", "b"])
+        .select("digest", "low", (F.col("low") + WINDOW).alias("high"))
     )
-    return _constructed(rare).unionByName(counted_spans)
+    return whole.unionByName(single)
 
 
 def _constructed(segments: DataFrame) -> DataFrame:
@@ -426,7 +460,7 @@ def remove_repeats(
     marks = (
         spans.groupBy("digest")
         .agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-        .withColumn("whole", F.lit(False))
+        .select("digest", _merged_spans(F.col("spans")).alias("spans"))
         .join(copies.select("digest", F.lit(True).alias("copied")), "digest", "full")
         .select(
             F.col("digest").alias("__digest"),
@@ -435,7 +469,7 @@ def remove_repeats(
         )
     )
     marks = keep(marks)
-    size = marks.agg(F.sum(64 + 24 * F.coalesce(F.size("spans"), F.lit(0)).cast("long"))).first()[0] or 0
+    size = marks.agg(F.sum(64 + 40 * F.coalesce(F.size("spans"), F.lit(0)).cast("long"))).first()[0] or 0
     marks = F.broadcast(marks) if size <= marked_bytes else marks.hint("shuffle_merge")
     joined = rows.select("doc_id", "text", "__digest").join(marks, "__digest", "left")
     cut = _removed(F.col("text"), F.coalesce("whole", F.lit(False)), F.col("spans"))

@@ -11,10 +11,10 @@ hold no less than ``SHARED`` of their shingles. Two texts with 0.8 of their 5-wo
 Equal word sequences are one text from the start. Equal sketches make buckets, and no bucket
 is compared pair by pair. The text that meets most others is its bucket's pivot, and all
 members are compared to it. Then connected components are taken, and buckets within one
-component are done. The others are divided by a further common sketch, and again while they
-are large, and pivots, members of small components first, are compared to all members that are
-in another component until none is left. No bucket is cut off, none is held by one task, and no pair is left out that shares
-the sketches asked for.
+component are done. The others are divided by a second common sketch, and pivots, members of small
+components first, are compared to all members that are in another component, twice as many in
+each round, until every bucket is of one component. Small buckets come first. No bucket is cut
+off, none is held by one task, and no pair is left out that shares the sketches asked for.
 
 Defined cases: texts without words (also null and empty ones) are alone in their classes. A
 text of fewer than five words is one shingle. A class is named by its largest doc_id, and that
@@ -46,10 +46,9 @@ SKETCHES = 20
 PICKED = 3
 #: Equal sketches that make two texts candidates. A pair at the similarity has 20 * 0.8 ** 3 = 10 on average.
 COMMON = 2
-#: Members beyond which a bucket is divided again, as often as ``DEEPEST`` common sketches.
+#: Members beyond which a bucket waits for the smaller ones, which may join its members.
 DIVIDED = 32
-DEEPEST = 4
-#: Pivots of a bucket in each round after the first.
+#: Pivots of a bucket in the first round after one pivot each; later rounds take twice as many as the one before.
 PIVOTS = 32
 #: Pairs of texts that a Python worker gets at once.
 PAIRS_AT_ONCE = 200
@@ -277,16 +276,15 @@ class _Classes:
             degree = members.groupBy("content").agg(F.sum("size").alias("degree"))
             ranked = members.join(degree.hint("shuffle_merge"), "content")
             first = F.struct("degree", tie, "content", "component")
-            best = ranked.groupBy("key").agg(F.array(F.max(first)).alias("best"))
+            best = ranked.groupBy("key").agg(F.max(first).alias("p"))
         else:
             # Members of small components first: a bucket is done when all but one are compared.
             alike = members.groupBy("key", "component").agg(F.count("*").alias("alike"))
             ranked = members.join(alike.hint("shuffle_merge"), ["key", "component"])
             first = F.struct((-F.col("alike")).alias("alike"), tie, "content", "component")
             part = F.pmod(F.xxhash64("content"), F.lit(pivots)).alias("part")
-            best = ranked.groupBy("key", part).agg(F.max(first).alias("best"))
-            best = best.groupBy("key").agg(F.collect_list("best").alias("best"))
-        chosen = keep(best.select("key", F.explode("best").alias("p")).select("key", "p.content", "p.component"))
+            best = ranked.groupBy("key", part).agg(F.max(first).alias("p"))
+        chosen = keep(best.select("key", "p.content", "p.component"))
         pairs = (
             members.alias("m")
             .join(chosen.alias("p").hint("shuffle_merge"), "key")
@@ -335,14 +333,13 @@ class _Classes:
             rest = self.open(rest)
         if not rest.isEmpty():
             rest = self.open(self.divided(rest))
-            for _ in range(COMMON, DEEPEST):
-                large = rest.filter(F.col("size") > DIVIDED)
-                if large.isEmpty():
-                    break
-                small = rest.filter(F.col("size") <= DIVIDED)
-                rest = keep(small.unionByName(self.open(self.divided(large))))
+            small, large = rest.filter(F.col("size") <= DIVIDED), rest.filter(F.col("size") > DIVIDED)
+            if not small.isEmpty() and not large.isEmpty():
+                rest = self.open(self.compare(small, PIVOTS).unionByName(large))
+        pivots = PIVOTS
         while not rest.isEmpty():
-            rest = self.open(self.compare(rest, PIVOTS))
+            rest = self.open(self.compare(rest, pivots))
+            pivots *= 2
         if self.named is None:
             return self.classes.select(F.col("content").alias("node"), F.col("content").alias("component")).limit(0)
         return self.named

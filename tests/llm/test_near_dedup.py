@@ -98,6 +98,24 @@ def test_classes_of_edited_copies(spark, monkeypatch, divided):
     assert sum(r.kept for r in found.values()) == len(set(truth.values()))
 
 
+def test_two_common_sketches_do_in_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(nd, "DIVIDED", 3)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(150)]
+    texts = [" ".join(words), " ".join(edited(rng, words, 1))]
+    texts += [" ".join(f"o{i}x{k}" for k in range(150)) for i in range(12)]
+    # All share sketches 0 and 1; the others also share a third, so that one of them is the first pivot.
+    rows = [
+        (b"%02d" % i, 150, [1, 2, 3 if i > 1 else 100 + i, *(1000 * i + k for k in range(4, 21))])
+        for i in range(len(texts))
+    ]
+    classes = spark.createDataFrame(rows, "content binary, n long, sketches array<long>")
+    given = [(b"%02d" % i, sequence(text).tobytes()) for i, text in enumerate(texts)]
+    sequences = spark.createDataFrame(given, "content binary, sequence binary")
+    found = nd._Classes(classes, lambda wanted: sequences.join(wanted, "content", "left_semi")).run().collect()
+    assert {bytes(r.node): bytes(r.component) for r in found} == {b"00": b"00", b"01": b"00"}
+
+
 def test_a_large_group_of_near_copies_is_one_class(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(150)]

@@ -5,8 +5,7 @@ occurred before. A sketch takes the least ``PICKED`` labelled shingles under one
 joins them in the order they have in the text, so that it is sensitive to moves as the edit
 similarity is. Texts with ``COMMON`` equal sketches out of ``SKETCHES`` are candidates, and a banded
 alignment decides: a longest chain of common shingles that rises in both texts, within a band of
-diagonals. The words it covers must be at least ``SIMILARITY`` of both texts' words, and it must
-hold no less than ``SHARED`` of their shingles. Two texts with 0.8 of their 5-word shingles in common, in order, always pass.
+diagonals, must hold at least ``SIMILARITY`` of all shingles of both (common ones counted once).
 
 Equal word sequences are one text from the start. Equal sketches make buckets, and no bucket
 is compared pair by pair. The text that meets most others is its bucket's pivot, and all
@@ -40,8 +39,6 @@ from fleetgauge.llm.shared import arrow_rows, checked_join, keep, located
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Share of common shingles below which no alignment is tried.
-SHARED = 0.5
 SKETCHES = 20
 PICKED = 3
 #: Equal sketches that make two texts candidates. A pair at the similarity has 20 * 0.8 ** 3 = 10 on average.
@@ -185,13 +182,8 @@ def banded_alignment(one: np.ndarray, two: np.ndarray, band: int) -> tuple[np.nd
     return i, j
 
 
-def _covered(places: np.ndarray, words: int) -> int:
-    """Words that the shingles at rising ``places`` cover."""
-    return min(words, int(np.minimum(np.diff(places), SHINGLE).sum()) + SHINGLE) if len(places) else 0
-
-
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Share of words in aligned shingles of two word sequences; 0.0 where it is surely below ``least``."""
+    """Share of aligned shingles in all shingles of two word sequences; 0.0 where it is below ``least``."""
     if not len(a) or not len(b):
         return 0.0
     if np.array_equal(a, b):
@@ -200,10 +192,9 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     if min(len(a), len(b)) < SHINGLE or 2 * min(len(a), len(b)) < least * words:
         return 0.0
     # Words left out shift an alignment, and no more than all that may be left out.
-    i, j = banded_alignment(labelled(shingles(a)), labelled(shingles(b)), int(words * (1 - least)) + 1)
-    if len(i) < SHARED * (words - 2 * (SHINGLE - 1) - len(i)):
-        return 0.0
-    return (_covered(i, len(a)) + _covered(j, len(b))) / words
+    i, _ = banded_alignment(labelled(shingles(a)), labelled(shingles(b)), int(words * (1 - least)) + 1)
+    share = len(i) / (words - 2 * (SHINGLE - 1) - len(i))
+    return share if share >= least else 0.0
 
 
 @F.arrow_udf(T.BooleanType())
@@ -229,9 +220,9 @@ class _Classes:
         self.compared: DataFrame | None = None
 
     def buckets(self) -> DataFrame:
-        """(key, last, content): texts by sketch, where at least two share it."""
-        each = self.classes.select("content", F.posexplode("sketches").alias("last", "key"))
-        members = self._shared(each.select("key", "last", "content"))
+        """(key, last, content, n): texts by sketch, where at least two share it."""
+        each = self.classes.select("content", "n", F.posexplode("sketches").alias("last", "key"))
+        members = self._shared(each.select("key", "last", "content", "n"))
         # Only texts that share a sketch are looked at again.
         some = members.select("content").distinct()
         self.classes = keep(self.classes.join(some.hint("shuffle_merge"), "content", "left_semi"))
@@ -245,10 +236,10 @@ class _Classes:
     def divided(self, members: DataFrame) -> DataFrame:
         """Buckets by one more sketch that comes after the ones they have."""
         each = members.join(self.classes.select("content", "sketches"), "content").select(
-            "content", "key", "last", F.posexplode("sketches").alias("next", "other")
+            "content", "n", "key", "last", F.posexplode("sketches").alias("next", "other")
         )
         further = each.filter("next > last").select(
-            F.xxhash64("key", "other").alias("key"), F.col("next").alias("last"), "content"
+            F.xxhash64("key", "other").alias("key"), F.col("next").alias("last"), "content", "n"
         )
         return self._shared(further)
 
@@ -275,20 +266,23 @@ class _Classes:
         if pivots == 1:
             degree = members.groupBy("content").agg(F.sum("size").alias("degree"))
             ranked = members.join(degree.hint("shuffle_merge"), "content")
-            first = F.struct("degree", tie, "content", "component")
+            first = F.struct("degree", tie, "content", "component", "n")
             best = ranked.groupBy("key").agg(F.max(first).alias("p"))
         else:
             # Members of small components first: a bucket is done when all but one are compared.
             alike = members.groupBy("key", "component").agg(F.count("*").alias("alike"))
             ranked = members.join(alike.hint("shuffle_merge"), ["key", "component"])
-            first = F.struct((-F.col("alike")).alias("alike"), tie, "content", "component")
+            first = F.struct((-F.col("alike")).alias("alike"), tie, "content", "component", "n")
             part = F.pmod(F.xxhash64("content"), F.lit(pivots)).alias("part")
             best = ranked.groupBy("key", part).agg(F.max(first).alias("p"))
-        chosen = keep(best.select("key", "p.content", "p.component"))
+        chosen = keep(best.select("key", "p.content", "p.component", "p.n"))
+        # No alignment holds more shingles than the shorter text.
+        least, most = (f("m.n", "p.n") - (SHINGLE - 1) for f in (F.least, F.greatest))
         pairs = (
             members.alias("m")
             .join(chosen.alias("p").hint("shuffle_merge"), "key")
             .filter("m.component <> p.component AND m.content <> p.content")
+            .filter((least >= 1) & (least >= SIMILARITY * most - 1e-6))
             .select(F.greatest("m.content", "p.content").alias("u"), F.least("m.content", "p.content").alias("v"))
             .distinct()
         )

@@ -46,6 +46,22 @@ def test_texts_with_most_shingles_in_common_are_similar():
         assert found >= 0.8 if true >= 0.8 else true >= 0.5 or found == 0
 
 
+def test_the_share_of_shingles_decides(spark):
+    rows, apart = [], []
+    for every in (10, 15, 17):
+        words = [f"w{every}x{i}" for i in range(300)]
+        other = [f"{w}new" if i % every == every // 2 else w for i, w in enumerate(words)]
+        one, two = " ".join(words), " ".join(other)
+        apart.append(jaccard(one, two))
+        assert nd.similarity(sequence(one), sequence(two)) == 0
+        rows += [(len(rows), one), (len(rows) + 1, two)]
+    assert min(apart) < 0.5 and 0.5 < max(apart) < 0.75
+    assert all(r.class_size == 1 for r in nd.near_classes(documents(spark, rows)).collect())
+    words = [f"w{i}" for i in range(124)]
+    # 96 of 120 shingles, exactly at the limit.
+    assert nd.similarity(sequence(" ".join(words)), sequence(" ".join(words[:100]))) == 0.8
+
+
 def test_the_chain_is_a_longest_one():
     rng = random.Random(8)
     for _ in range(200):

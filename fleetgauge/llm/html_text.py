@@ -5,8 +5,11 @@ and punctuation marks of its blocks are summed and divided by the number of bloc
 share of text in links is taken off; each block gets the ratios of its path. Both ratios are
 smoothed over the blocks in page order, multiplied, and blocks above a share of the standard
 deviation are content. The container is the deepest element that holds most of the content's
-score; its blocks are the main text. Parts that are not the article by their tag or by words
-of their class, id or role (menus, forms, adverts, comments ...) are never blocks.
+score; its blocks are the main text. Parts that are beside the article by their tag or by words
+of their class, id or role (menus, forms, adverts, comments ...) are no blocks, unless they hold
+an article or main element that is not small, or most of the page's plain text while no such
+element has text outside of them. If little would be left, no part is beside. Headers within an
+article or main element belong to it.
 
 A page is parsed by a linear pass over its tags. Unclosed elements end with their parent,
 unclosed tags with the page.
@@ -33,6 +36,8 @@ from pyspark.sql.types import StringType
 THRESHOLD = 0.8
 #: Share of the content's score that the container must hold.
 HELD = 0.7
+#: Share of the page's plain text below which an article or main element, or what is left, is small.
+LITTLE = 0.1
 #: Weights of a block and its neighbours when ratios are smoothed.
 KERNEL = np.array([0.25, 0.5, 0.25])
 
@@ -43,10 +48,12 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split()
 )
-BESIDE = frozenset(
-    "script style textarea title xmp iframe noembed noframes head nav footer header aside form noscript template "
-    "button select option dialog menu svg math object canvas audio video".split()
+NO_TEXT = frozenset(
+    "script style textarea title xmp iframe noembed noframes template select option svg math object canvas audio "
+    "video".split()
 )
+BESIDE = frozenset("head nav footer header aside form noscript button dialog menu".split())
+ARTICLE = frozenset(("article", "main"))
 BESIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
     "cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices "
@@ -78,11 +85,15 @@ _MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "beside", "inline", "path", "score", "children", "leaf")
+    __slots__ = ("tag", "parent", "none", "beside", "inline", "path", "score", "children", "leaf", "within", "mark", "held")
 
     def __init__(self, tag: str, parent: Element | None, beside: bool):
         self.tag, self.parent, self.inline = tag, parent, tag in INLINE
-        self.beside = beside or (parent is not None and parent.beside)
+        self.none = tag in NO_TEXT or (parent is not None and parent.none)
+        self.beside = beside or self.none or (parent is not None and parent.beside)
+        #: Whether it is within an article or main element, the nearest marked element, and the plain text it holds.
+        self.within = parent is not None and (parent.within or parent.tag in ARTICLE)
+        self.mark, self.held = self if parent is None else parent.mark, 0
         self.path = f"{parent.path}/{tag}" if parent is not None else tag
         self.score, self.children, self.leaf = 0.0, [], False
 
@@ -96,21 +107,77 @@ class Block:
         self.owner, self.path, self.text, self.linked = owner, path, text, linked
 
 
-def _is_beside(tag: str, more: str) -> bool:
-    if tag in BESIDE:
+def _is_beside(tag: str, more: str, within: bool) -> bool:
+    """Whether an element's tag or attributes say so; ``within`` an article, headers are its own."""
+    if tag in BESIDE and not (within and tag == "header"):
         return True
     if not more or tag in ("html", "body", "article", "main"):
         return False
     if _HIDDEN.search(more):
         return True
     named = " ".join(a or b or c for a, b, c in _NAMED.findall(more)).lower()
-    return bool(named) and not BESIDE_WORDS.isdisjoint(_SPLIT.split(named))
+    if not named:
+        return False
+    words = BESIDE_WORDS.intersection(_SPLIT.split(named))
+    return bool(words - {"header"} if within else words)
+
+
+def _wrappers(marked: list[tuple[Element, bool]]) -> set[int]:
+    """Numbers of the marked elements that are not beside the article, whatever their tags and words say.
+
+    ``marked`` has the root, all article and main elements and all that look beside, in page order,
+    and whether they look so.
+    """
+    number = {id(e): k for k, (e, _) in enumerate(marked)}
+    above = [number[id(e.parent.mark)] if e.parent is not None else -1 for e, _ in marked]
+    own = [e.held for e, _ in marked]
+    held, lead = list(own), [0] * len(marked)
+    for k in range(len(marked) - 1, 0, -1):
+        if marked[k][0].tag in ARTICLE:
+            lead[k] = max(lead[k], held[k])
+        held[above[k]] += held[k]
+        lead[above[k]] = max(lead[above[k]], lead[k])
+    little = LITTLE * held[0]
+    if not held[0]:
+        return set()
+    articles = [k for k, (e, _) in enumerate(marked) if e.tag in ARTICLE and held[k] >= little]
+
+    def around(k: int) -> set[int]:
+        found = set()
+        while k >= 0:
+            found.add(k)
+            k = above[k]
+        return found
+
+    kept, left, dropped = set(), 0, [False] * len(marked)
+    for k, (_, beside) in enumerate(marked):
+        if beside:
+            whole = lead[k] >= little and 2 * lead[k] > lead[0]
+            if not whole and 2 * held[k] > held[0]:
+                outer = around(k)
+                # What an article or main element has outside of this one.
+                whole = all(
+                    k in around(a) or (held[a] - held[k] if a in outer else held[a]) < little for a in articles
+                )
+            if whole:
+                kept.add(k)
+        dropped[k] = (k > 0 and dropped[above[k]]) or (beside and k not in kept)
+        left += 0 if dropped[k] else own[k]
+    return kept if left >= little else {k for k, (_, beside) in enumerate(marked) if beside}
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks outside of parts beside the article."""
+    found, marked = _parsed(html, frozenset())
+    kept = _wrappers(marked)
+    return _parsed(html, kept)[0] if kept else found
+
+
+def _parsed(html: str, kept: set[int] | frozenset[int]) -> tuple[list[Block], list[tuple[Element, bool]]]:
+    """Blocks outside of marked elements that look beside but for those numbered ``kept``; marked elements."""
     root = Element("", None, False)
     stack = [root]
+    marked = [(root, False)]
     found: list[Block] = []
     pieces: list[str] = []
     linked = 0
@@ -130,13 +197,18 @@ def blocks(html: str) -> list[Block]:
     def say(text: str) -> None:
         nonlocal linked, path
         top = stack[-1]
-        if not text or top.beside:
+        if not text or top.none:
+            return
+        in_link = any(e.tag == "a" for e in stack[-1:-6:-1])
+        if not in_link:
+            top.mark.held += len(text.strip())
+        if top.beside:
             return
         if not pieces:
             path = top.path
         decoded = unescape(text)
         pieces.append(decoded)
-        if any(e.tag == "a" for e in stack[-1:-6:-1]):
+        if in_link:
             linked += len(decoded.strip())
 
     def close(depth: int) -> None:
@@ -173,7 +245,12 @@ def blocks(html: str) -> list[Block]:
                 pieces.append(" ")
             continue
         more = match["more"] or ""
-        element = Element(tag, stack[-1], _is_beside(tag, more))
+        within = stack[-1].within or stack[-1].tag in ARTICLE
+        beside = _is_beside(tag, more, within)
+        element = Element(tag, stack[-1], beside and len(marked) not in kept)
+        if beside or tag in ARTICLE:
+            marked.append((element, beside))
+            element.mark = element
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.IGNORECASE).search(html, at)
             at = end.end()
@@ -184,7 +261,7 @@ def blocks(html: str) -> list[Block]:
             pieces.append(" ")
         stack.append(element)
     flush()
-    return found
+    return found, marked
 
 
 def _end_implied(stack: list[Element], tag: str) -> None:

@@ -42,6 +42,43 @@ def test_parts_beside_the_article():
     assert main_text(page) == f"Title {PARAGRAPH} Short. One Two"
 
 
+WRAPPERS = [
+    "<div class='content-sidebar-wrap'>{}</div>",
+    "<div class='layout has-sidebar'>{}</div>",
+    "<div id='post-with-comments'>{}</div>",
+    "<form method=post action=x>{}</form>",
+    "<div class=nav-page><form>{}</form></div>",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("holder", ["article", "main", "div"])
+def test_wrappers_do_not_take_the_article_away(wrapper, holder):
+    aside = f"<div class=sidebar><p>{PARAGRAPH}</p></div><nav><a href=x>Menu</a></nav>"
+    article = f"<{holder}><h1>Title</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></{holder}>"
+    expected = f"Title {PARAGRAPH} {PARAGRAPH} {PARAGRAPH}"
+    assert main_text(f"<html><body>{wrapper.format(article + aside)}</body></html>") == expected
+    assert main_text(f"<html><body><main>{wrapper.format(article + aside)}</main></body></html>") == expected
+
+
+def test_headers_of_an_article_are_its_own():
+    for header in ("<header><h1>Title</h1></header>", "<div class=entry-header><h1>Title</h1></div>"):
+        page = f"<body><header><h1>Site</h1></header><article>{header}<p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></article></body>"
+        assert main_text(page) == f"Title {PARAGRAPH} {PARAGRAPH}"
+
+
+def test_long_comments_stay_beside_an_article():
+    comments = "".join(f"<article class=comment><header>By x</header><p>{PARAGRAPH}</p></article>" for _ in range(9))
+    page = f"<body><article><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></article><div id=comments>{comments}</div></body>"
+    assert main_text(page) == f"{PARAGRAPH} {PARAGRAPH} {PARAGRAPH}"
+
+
+def test_a_head_without_its_end_and_parts_beside_alone():
+    assert main_text(f"<html><head><title>T</title><body><p>{PARAGRAPH}</p></body></html>") == PARAGRAPH
+    half = "".join(f"<div class=promo><p>{PARAGRAPH}</p></div>" for _ in range(3))
+    assert PARAGRAPH in main_text(f"<body>{half}</body>")
+
+
 def test_given_pages_give_their_articles():
     """The tables' pages have one article element each; a plain reading of it must be found."""
     for page in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():

@@ -12,7 +12,9 @@ scored where it lies. New words of a batch are scored together, once.
 
 Defined cases: a null or empty text, or one without words, has the score of an empty bag (the
 softmax's bias). Repeated rows are scored one by one. Very long texts count whole. Other
-columns are kept by ``with_score``. Without labelled rows of both classes, all scores are 0.
+columns are kept by ``with_score``. Labelled texts of over ``TEXT_BYTES`` are not learned, but
+scored. Without labelled rows of both classes, all scores are 0; if there are such rows and the
+sample has none of one class, that is an error.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ PRIOR = 2
 #: Bounds of the sample that the model is fitted to: rows, and bytes of their texts.
 SAMPLE_ROWS = 12_288
 SAMPLE_BYTES = 24 << 20
+#: Bytes beyond which a labelled text is left out of the sample.
+TEXT_BYTES = 1 << 20
 
 THRESHOLD = 0.7
 
@@ -208,23 +212,28 @@ def train(
     return Model(table @ (softmax[:, 1] - softmax[:, 0]), bias[1] - bias[0])
 
 
+def _labelled(labels: DataFrame, chosen: Column) -> DataFrame:
+    """(doc_id, toxic): the label of each id that ``chosen`` takes."""
+    found = labels.filter(chosen & F.col("toxic").isin(0, 1))
+    return found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, chosen: Column, rows: int, most_bytes: int) -> DataFrame:
-    """At most ``rows`` labelled rows with at most ``most_bytes`` of text, by the hash of their ids."""
+    """At most ``rows`` labelled rows with at most ``most_bytes`` of text, by the hash of their ids.
+
+    A text of over ``TEXT_BYTES`` is left out and takes no room from the others.
+    """
     order = F.xxhash64("doc_id")
-    ids = (
-        labels.filter(chosen & F.col("toxic").isin(0, 1))
-        .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
-        .orderBy(order, "doc_id")
-        .limit(rows)
-    )
+    ids = _labelled(labels, chosen).orderBy(order, "doc_id").limit(rows)
     upto = Window.orderBy(order, "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return (
         docs.select("doc_id", "text")
+        .filter(size <= TEXT_BYTES)
         .join(F.broadcast(ids), "doc_id")
         .orderBy(order, "doc_id", "text")
         .limit(rows)
-        .withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(upto))
+        .withColumn("bytes", F.sum(size).over(upto))
         .filter(F.col("bytes") <= most_bytes)
         .select("text", "toxic")
     )
@@ -237,6 +246,10 @@ def fit(
     found = sample(docs, labels, chosen, rows, most_bytes).toArrow()
     texts, toxic = found["text"].to_pylist(), found["toxic"].to_pylist()
     del found
+    if len(set(toxic)) < 2:
+        given = docs.select("doc_id").join(_labelled(labels, chosen), "doc_id").select("toxic").distinct().count()
+        if given == 2:
+            raise ValueError("the sample of labelled rows lacks one of the two classes that the labels have")
     return train(texts, toxic)
 
 

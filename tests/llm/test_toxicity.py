@@ -66,6 +66,23 @@ def test_sample_is_bounded_and_by_id(spark):
     assert again[0] == again[1]
 
 
+def test_a_long_text_takes_no_room_in_the_sample(spark):
+    rows = [(i, f"some words {i}") for i in range(40)]
+    first = spark.range(40).orderBy(F.xxhash64("id")).first().id
+    docs = documents(spark, [(i, "long " * 300_000 if i == first else text) for i, text in rows])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert sample(docs, labels, F.lit(True), 100, 1_400_000).count() == 39
+    assert sample(docs, labels, F.lit(True), 100, 24 << 20).count() == 39
+
+
+def test_a_sample_of_one_class_is_an_error(spark):
+    docs = documents(spark, [(i, "x" * (2000 if i % 2 else 10)) for i in range(20)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    with pytest.raises(ValueError, match="lacks one"):
+        fit(docs, labels, F.lit(True), most_bytes=1000)
+    assert fit(docs, labels.filter("toxic = 0"), F.lit(True)).bias == float("-inf")
+
+
 def test_without_labels_nothing_is_toxic(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([], "doc_id long, toxic int")

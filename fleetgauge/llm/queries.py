@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.llm import (
+    conversation_trie,
     decontaminate,
     exact_dedup,
+    fill_in_middle,
     html_text,
     language_model,
     near_dedup,
@@ -18,6 +20,7 @@ from fleetgauge.llm import (
     secret_scan,
     toxicity,
     url_filter,
+    vector_links,
 )
 from fleetgauge.llm.shared import LOWER, UPPER, crc_mod, reachable
 
@@ -140,6 +143,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")).drop("output")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         query.__name__: query
@@ -154,6 +169,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_packing,
             op9_near_dedup,
             op10_decontaminate,
+            op11_conversation_trie,
+            op12_near_vectors,
+            op13_fill_in_middle,
         )
     }
 
@@ -222,9 +240,105 @@ FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+_TRIE = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), crc (conv_id, rest, state) AS (
+  SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR), CAST(4294967295 AS BIGINT) FROM turns
+  UNION ALL
+  SELECT conv_id, substr(rest, 2),
+         list_reduce(list_prepend(xor(state, CAST(ord(rest) AS BIGINT)), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+                     lambda s, i: xor(s >> 1, 3988292384 * (s & 1)))
+  FROM crc WHERE rest <> ''
+), lists AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY place) AS own FROM turns GROUP BY conv_id
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.own[1 : h], []), c.own[h + 1 :]) AS path
+  FROM lists c JOIN (SELECT conv_id, xor(state, 4294967295) % 6 AS h FROM crc WHERE rest = '') USING (conv_id)
+  LEFT JOIN lists b ON b.conv_id = c.conv_id - c.conv_id % 100
+), members AS (
+  SELECT conv_id, depth, len(path) AS size, path[1 : depth] AS prefix
+  FROM rebuilt, unnest(range(0, len(path) + 1)) AS depths (depth)
+), nodes AS (
+  SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(length(prefix[depth].text), 0) AS chars,
+         string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth) AS ends
+  FROM members GROUP BY depth, prefix
+), lines AS (
+  SELECT n.depth AS low, n.n_convs, n.chars, n.conv_id, above, n.prefix[1 : above] AS prefix
+  FROM nodes n, unnest(range(0, n.depth + 1)) AS depths (above)
+), children AS (
+  SELECT above AS depth, prefix, count(*) AS n_children FROM lines WHERE low = above + 1 GROUP BY above, prefix
+), leaves AS (
+  SELECT depth, prefix FROM nodes ANTI JOIN children USING (depth, prefix)
+), below AS (
+  SELECT above AS depth, l.prefix, sum((n_convs - 1) * chars) AS saved FROM lines l GROUP BY above, l.prefix
+), leafy AS (
+  SELECT above AS depth, leaf.prefix[1 : above] AS prefix, count(*) AS n_leaves
+  FROM leaves leaf, unnest(range(0, leaf.depth + 1)) AS depths (above) GROUP BY above, leaf.prefix[1 : above]
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN below USING (depth, prefix) JOIN leafy USING (depth, prefix) LEFT JOIN children USING (depth, prefix)
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1 : n.depth - 1]
+"""
+
+_NEAR_VECTORS = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= 0.98 END
+), reached (u, v) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT reached.u, links.v FROM reached JOIN links ON reached.v = links.u
+), components AS (SELECT u AS vec_id, min(v) AS component_id FROM reached GROUP BY u),
+counts AS (SELECT u AS vec_id, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN components USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
+
+_FILL_IN_MIDDLE = """
+WITH lines AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS units,
+         sha256('7:' || CAST(doc_id AS VARCHAR)) AS hash
+  FROM documents
+), numbers AS (
+  SELECT doc_id, text, units, len(units) AS n,
+         CAST('0x' || substr(hash, 1, 8) AS BIGINT) % (len(units) + 1) AS one,
+         CAST('0x' || substr(hash, 9, 8) AS BIGINT) % (len(units) + 1) AS two,
+         CAST('0x' || substr(hash, 17, 8) AS BIGINT) % 100 AS taken,
+         CAST('0x' || substr(hash, 25, 8) AS BIGINT) % 100 AS turned
+  FROM lines
+), cut AS (
+  SELECT doc_id, n, text,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR taken >= 100
+              THEN 'plain' WHEN turned < 50 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(units[1 : least(one, two)], '') AS prefix,
+         array_to_string(units[least(one, two) + 1 : greatest(one, two)], '') AS middle,
+         array_to_string(units[greatest(one, two) + 1 :], '') AS suffix
+  FROM numbers
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": _URL_FILTER,
         "op4_exact_dedup": _EXACT_DEDUP,
         "op10_decontaminate": _DECONTAMINATE,
+        "op11_conversation_trie": _TRIE,
+        "op12_near_vectors": _NEAR_VECTORS,
+        "op13_fill_in_middle": _FILL_IN_MIDDLE,
     }

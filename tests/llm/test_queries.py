@@ -17,7 +17,7 @@ def test_matches_duckdb(spark, name):
 
 def test_all_are_registered():
     found = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {name.partition("_")[0] for name in found if name.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {name.partition("_")[0] for name in found if name.startswith("op")}
     assert found["pipeline"] is corpus_pipeline.run
 
 

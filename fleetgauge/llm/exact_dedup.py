@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.shared import checked_join, keep, located, lower_ascii, shared_folder
+from fleetgauge.llm.shared import checked_join, keep, located, lower_ascii, restored, shared_folder
 
 #: Arrivals that one micro-batch takes from the stream.
 BATCH_BYTES = 64 << 30
@@ -78,7 +78,12 @@ def _state(spark: SparkSession, progress: str, arrivals: DataFrame) -> DataFrame
             F.col("at").alias("keep_at"),
         )
     state = spark.read.format("statestore").load(progress)
-    size, stays = (state[f"value.{name}"] for name in state.schema["value"].dataType.names)
+    fields = state.schema["value"].dataType.fields
+    # The state's fields are the aggregates in their order; their names are Spark's.
+    kinds = [f.dataType.simpleString() for f in fields]
+    if kinds != ["bigint", arrivals.select(F.struct("doc_id", "at")).schema[0].dataType.simpleString()]:
+        raise RuntimeError(f"unknown layout of the state: {kinds}")
+    size, stays = (state[f"value.{f.name}"] for f in fields)
     return state.select(
         state["key.digest"].alias("digest"),
         size.alias("group_size"),
@@ -161,4 +166,4 @@ def drop_copies(docs: DataFrame, *, batch_bytes: int = BATCH_BYTES) -> DataFrame
     """``docs`` without the rows whose text stays in another row; columns as they were."""
     rows, decided = _decided(docs, _sha256, batch_bytes)
     dropped = keep(decided.filter("NOT kept").select(F.col("at").alias("__at")))
-    return checked_join(rows, dropped, "__at", "left_anti", 160).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(checked_join(rows, dropped, "__at", "left_anti", 160), docs)

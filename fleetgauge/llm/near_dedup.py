@@ -3,22 +3,24 @@
 A text is its words (A-Z lower-cased) and its 5-word shingles, labelled by how often each
 occurred before. A sketch takes the least ``PICKED`` labelled shingles under one hash function and
 joins them in the order they have in the text, so that it is sensitive to moves as the edit
-similarity is. Texts with ``COMMON`` equal sketches out of ``SKETCHES`` are candidates, and a banded
-alignment decides: a longest chain of common shingles that rises in both texts, within a band of
-diagonals, must hold at least ``SIMILARITY`` of all shingles of both (common ones counted once).
-
-Equal word sequences are one text from the start. Equal sketches make buckets, and no bucket
-is compared pair by pair. The text that meets most others is its bucket's pivot, and all
-members are compared to it. Then connected components are taken, and buckets within one
-component are done. The others are divided by a second common sketch, and pivots, members of small
-components first, are compared to all members that are in another component, twice as many in
-each round, until every bucket is of one component. Small buckets come first. No bucket is cut
-off, none is held by one task, and no pair is left out that shares the sketches asked for.
+similarity is. Texts with ``COMMON`` equal sketches out of ``SKETCHES``, two of them neighbours
+(the last one's neighbour is the first), are candidates, and a banded alignment decides: a longest
+chain of common shingles that rises in both texts, within a band of diagonals, must hold at least
+``SIMILARITY`` of all shingles of both (common ones counted once).
+
+Equal word sequences are one text from the start. Two equal neighbouring sketches make buckets, and
+no bucket is compared pair by pair. The text that meets most others is its bucket's pivot, and all
+members are compared to it. Then connected components are taken, and buckets within one component
+are done. In the others, texts with more shingles of their own than an alignment may leave out are
+set aside: nothing can be similar to them. Pivots, members of small components first, are then
+compared to all members that are in another component and might be similar, twice as many in each
+round, until every bucket is of one component. No bucket is cut off, none is held by one task, and
+no candidate is left out, whatever the size of its bucket.
 
 Defined cases: texts without words (also null and empty ones) are alone in their classes. A
 text of fewer than five words is one shingle. A class is named by its largest doc_id, and that
 row stays (of repeated ids the one with the largest locator). Repeated rows are one text. Very
-long texts are whole. Other columns are kept by ``drop_near_copies``.
+long texts are whole. Other columns are kept by ``drop_near_copies``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,24 +31,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetgauge.llm.components import components
 from fleetgauge.llm.decontaminate import Words
-from fleetgauge.llm.shared import arrow_rows, checked_join, keep, located
+from fleetgauge.llm.shared import arrow_rows, checked_join, keep, located, restored, shared_folder
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 20
 PICKED = 3
-#: Equal sketches that make two texts candidates. A pair at the similarity has 20 * 0.8 ** 3 = 10 on average.
-COMMON = 2
-#: Members beyond which a bucket waits for the smaller ones, which may join its members.
-DIVIDED = 32
+#: Equal sketches that make two texts candidates. A pair at the similarity has 20 * 0.8 ** 3 = 10 on average,
+#: and is a candidate with a probability of 0.988; at a similarity of 0.85 with one of 0.9987.
+COMMON = 4
 #: Pivots of a bucket in the first round after one pivot each; later rounds take twice as many as the one before.
-PIVOTS = 32
+PIVOTS = 16
 #: Pairs of texts that a Python worker gets at once.
 PAIRS_AT_ONCE = 200
 
@@ -209,49 +210,61 @@ def _alike(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         )
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _shingled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The labelled shingles of a word sequence."""
+    for column in batches:
+        found = [labelled(shingles(np.frombuffer(s, np.uint64))).view(np.int64) for s in column.to_pylist()]
+        yield pa.array(found, pa.list_(pa.int64()))
+
+
+def bucket_keys(sketches: Column) -> Column:
+    """One key for each two neighbouring sketches."""
+    return F.array(
+        *[F.xxhash64(F.lit(i), sketches[i], sketches[(i + 1) % SKETCHES]) for i in range(SKETCHES)]
+    )
+
+
+def _size(n: str) -> Column:
+    """Shingles of a text of ``n`` words."""
+    return F.greatest(F.col(n) - (SHINGLE - 1), F.lit(1))
+
+
 class _Classes:
-    """Rounds of comparison over the different texts of ``classes`` (content, n, sketches)."""
+    """Rounds of comparison over the different texts of ``texts`` (id, n, sketches).
+
+    ``sequences`` gives (id, sequence) for a table of ids. Members of buckets are rows of
+    (key, id, n, most, component, size): ``most`` shingles of the text are in any other one.
+    """
 
-    def __init__(self, classes: DataFrame, sequences):
-        self.classes = classes.filter("n > 0")
-        self.sequences_of = sequences
-        self.edges: DataFrame | None = None
+    def __init__(self, texts: DataFrame, sequences):
+        self.texts = texts.filter("n > 0")
+        self.fetched = sequences
+        self.sequences: DataFrame | None = None
         self.named: DataFrame | None = None
-        self.compared: DataFrame | None = None
+        self.unlike: str | None = None
 
     def buckets(self) -> DataFrame:
-        """(key, last, content, n): texts by sketch, where at least two share it."""
-        each = self.classes.select("content", "n", F.posexplode("sketches").alias("last", "key"))
-        members = self._shared(each.select("key", "last", "content", "n"))
-        # Only texts that share a sketch are looked at again.
-        some = members.select("content").distinct()
-        self.classes = keep(self.classes.join(some.hint("shuffle_merge"), "content", "left_semi"))
-        return members
-
-    @staticmethod
-    def _shared(members: DataFrame) -> DataFrame:
-        sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-        return keep(members.join(sizes.hint("shuffle_merge"), "key"))
-
-    def divided(self, members: DataFrame) -> DataFrame:
-        """Buckets by one more sketch that comes after the ones they have."""
-        each = members.join(self.classes.select("content", "sketches"), "content").select(
-            "content", "n", "key", "last", F.posexplode("sketches").alias("next", "other")
-        )
-        further = each.filter("next > last").select(
-            F.xxhash64("key", "other").alias("key"), F.col("next").alias("last"), "content", "n"
+        """Texts by two neighbouring sketches, where at least two share them."""
+        each = self.texts.select("id", "n", F.explode(bucket_keys(F.col("sketches"))).alias("key"))
+        sizes = each.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        members = keep(
+            each.join(sizes.hint("shuffle_merge"), "key").select(
+                "key", "id", "n", _size("n").alias("most"), F.col("id").alias("component"), "size"
+            )
         )
-        return self._shared(further)
+        # Only texts that share a bucket are looked at again.
+        some = members.select("id").distinct()
+        self.texts = keep(self.texts.join(some.hint("shuffle_merge"), "id", "left_semi").select("id", "sketches"))
+        return members
 
     def open(self, members: DataFrame) -> DataFrame:
         """Members of buckets that hold more than one component."""
         named = members
         if self.named is not None:
-            names = self.named.select(F.col("node").alias("content"), "component")
-            named = members.drop("component").join(names, "content", "left")
-        named = named.withColumn(
-            "component", F.coalesce("component", "content") if self.named is not None else F.col("content")
-        )
+            names = self.named.select(F.col("node").alias("id"), F.col("component").alias("name"))
+            joined = members.join(names.hint("shuffle_merge"), "id", "left")
+            named = joined.withColumn("component", F.coalesce("name", "id")).drop("name")
         mixed = (
             named.groupBy("key")
             .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
@@ -260,82 +273,116 @@ class _Classes:
         )
         return keep(named.drop("size").join(mixed.hint("shuffle_merge"), "key"))
 
+    def hopeful(self, members: DataFrame) -> DataFrame:
+        """``members`` without the texts that can't be similar to any other of them.
+
+        A shingle that one text alone has is in no alignment of it.
+        """
+        ids = members.select("id").distinct()
+        if self.sequences is None:
+            self.sequences = keep(self.fetched(ids))
+        else:
+            self.sequences = keep(self.sequences.join(ids.hint("shuffle_merge"), "id", "left_semi"))
+        each = self.sequences.select("id", F.explode(_shingled(F.col("sequence"))).alias("shingle"))
+        alone = each.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("id").alias("id")).filter("texts = 1")
+        own = alone.groupBy("id").agg(F.count("*").alias("own"))
+        rest = members.join(own.hint("shuffle_merge"), "id", "left")
+        most = _size("n") - F.coalesce("own", F.lit(0))
+        return rest.withColumn("most", most).drop("own").filter(most >= SIMILARITY * _size("n") - 1e-6)
+
     def compare(self, members: DataFrame, pivots: int) -> DataFrame:
         """One round: the pivots against all members of other components; members without the pivots."""
-        tie = F.xxhash64("content", "key").alias("tie")
+        tie = F.xxhash64("id").alias("tie")
         if pivots == 1:
-            degree = members.groupBy("content").agg(F.sum("size").alias("degree"))
-            ranked = members.join(degree.hint("shuffle_merge"), "content")
-            first = F.struct("degree", tie, "content", "component", "n")
+            degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
+            ranked = members.join(degree.hint("shuffle_merge"), "id")
+            first = F.struct("degree", tie, "id", "component", "n", "most")
             best = ranked.groupBy("key").agg(F.max(first).alias("p"))
         else:
             # Members of small components first: a bucket is done when all but one are compared.
             alike = members.groupBy("key", "component").agg(F.count("*").alias("alike"))
             ranked = members.join(alike.hint("shuffle_merge"), ["key", "component"])
-            first = F.struct((-F.col("alike")).alias("alike"), tie, "content", "component", "n")
-            part = F.pmod(F.xxhash64("content"), F.lit(pivots)).alias("part")
+            first = F.struct((-F.col("alike")).alias("alike"), tie, "id", "component", "n", "most")
+            part = F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("part")
             best = ranked.groupBy("key", part).agg(F.max(first).alias("p"))
-        chosen = keep(best.select("key", "p.content", "p.component", "p.n"))
-        # No alignment holds more shingles than the shorter text.
-        least, most = (f("m.n", "p.n") - (SHINGLE - 1) for f in (F.least, F.greatest))
+        chosen = keep(best.select("key", "p.id", "p.component", "p.n", "p.most"))
+        # An alignment holds no more shingles than either text shares with others.
+        aligned = F.least("m.most", "p.most") * (1 + SIMILARITY)
         pairs = (
             members.alias("m")
             .join(chosen.alias("p").hint("shuffle_merge"), "key")
-            .filter("m.component <> p.component AND m.content <> p.content")
-            .filter((least >= 1) & (least >= SIMILARITY * most - 1e-6))
-            .select(F.greatest("m.content", "p.content").alias("u"), F.least("m.content", "p.content").alias("v"))
+            .filter("m.component <> p.component AND m.id <> p.id")
+            .filter(aligned >= SIMILARITY * (_size("m.n") + _size("p.n")) - 1e-6)
+            .select(F.greatest("m.id", "p.id").alias("u"), F.least("m.id", "p.id").alias("v"))
             .distinct()
         )
-        if self.compared is not None:
-            pairs = pairs.join(self.compared, ["u", "v"], "left_anti")
-        self._verify(keep(pairs), sure=pivots > 1)
+        self._verify(pairs)
         return members.join(
-            chosen.select("key", "content").hint("shuffle_merge"), ["key", "content"], "left_anti"
+            chosen.select("key", "id").hint("shuffle_merge"), ["key", "id"], "left_anti"
         )
 
-    def _verify(self, pairs: DataFrame, sure: bool) -> None:
-        """Align the pairs; ``sure`` says that they are known to share ``COMMON`` sketches."""
-        candidates = pairs
-        if not sure:
-            one = self.classes.select(F.col("content").alias("u"), F.col("sketches").alias("su"))
-            two = self.classes.select(F.col("content").alias("v"), F.col("sketches").alias("sv"))
-            candidates = keep(
-                pairs.join(one.hint("shuffle_merge"), "u")
-                .join(two.hint("shuffle_merge"), "v")
-                .filter(F.size(F.array_intersect("su", "sv")) >= COMMON)
-                .select("u", "v")
-            )
-        wanted = keep(candidates.select(F.explode(F.array("u", "v")).alias("content")).distinct())
+    def _verify(self, pairs: DataFrame) -> None:
+        """Align the pairs with enough equal sketches, and join what is similar."""
+        if self.unlike is not None:
+            known = pairs.sparkSession.read.schema("u long, v long").parquet(self.unlike)
+            pairs = pairs.join(known.hint("shuffle_merge"), ["u", "v"], "left_anti")
+        one = self.texts.select(F.col("id").alias("u"), F.col("sketches").alias("su"))
+        two = self.texts.select(F.col("id").alias("v"), F.col("sketches").alias("sv"))
+        candidates = keep(
+            pairs.join(one.hint("shuffle_merge"), "u")
+            .join(two.hint("shuffle_merge"), "v")
+            .filter(F.size(F.array_intersect("su", "sv")) >= COMMON)
+            .select("u", "v")
+        )
+        if self.sequences is None:
+            wanted = candidates.select(F.col("u").alias("id")).union(candidates.select("v")).distinct()
+            sequences = keep(self.fetched(wanted))
+        else:
+            sequences = self.sequences
         with arrow_rows(pairs.sparkSession, PAIRS_AT_ONCE):
-            sequences = keep(self.sequences_of(wanted))
-            found = keep(
-                candidates.join(sequences.select(F.col("content").alias("u"), F.col("sequence").alias("a")), "u")
-                .join(sequences.select(F.col("content").alias("v"), F.col("sequence").alias("b")), "v")
-                .filter(_alike(F.col("a"), F.col("b")))
-                .select("u", "v")
+            first = sequences.select(F.col("id").alias("u"), F.col("sequence").alias("a"))
+            second = sequences.select(F.col("id").alias("v"), F.col("sequence").alias("b"))
+            judged = keep(
+                candidates.join(first.hint("shuffle_merge"), "u")
+                .join(second.hint("shuffle_merge"), "v")
+                .select("u", "v", _alike(F.col("a"), F.col("b")).alias("alike"))
             )
-        self.compared = pairs if self.compared is None else self.compared.unionByName(pairs)
+        if self.unlike is None:
+            self.unlike = shared_folder(pairs.sparkSession)
+        judged.filter("NOT alike").select("u", "v").write.mode("append").parquet(self.unlike)
+        found = judged.filter("alike").select("u", "v")
         if not found.isEmpty():
-            self.edges = found if self.edges is None else self.edges.unionByName(found)
-            self.named = keep(components(self.edges))
+            self._join(found)
+
+    def _join(self, found: DataFrame) -> None:
+        """Components with the new links: only what they join is looked at again."""
+        if self.named is None:
+            self.named = components(found)
+            return
+        ends = found
+        for end in ("u", "v"):
+            names = self.named.select(F.col("node").alias(end), F.col("component").alias("name"))
+            joined = ends.join(names.hint("shuffle_merge"), end, "left")
+            ends = joined.withColumn(end, F.coalesce("name", end)).drop("name")
+        merged = keep(components(ends))
+        names = merged.select(F.col("node").alias("component"), F.col("component").alias("name"))
+        old = self.named.join(names.hint("shuffle_merge"), "component", "left").select(
+            "node", F.coalesce("name", "component").alias("component")
+        )
+        new = merged.join(self.named.select("node").hint("shuffle_merge"), "node", "left_anti")
+        self.named = keep(old.unionByName(new.select("node", "component")))
 
     def run(self) -> DataFrame:
         """(node, component) of all texts that have a near copy."""
-        rest = self.open(self.buckets())
-        if not rest.isEmpty():
-            self.compare(rest, 1)
-            rest = self.open(rest)
-        if not rest.isEmpty():
-            rest = self.open(self.divided(rest))
-            small, large = rest.filter(F.col("size") <= DIVIDED), rest.filter(F.col("size") > DIVIDED)
-            if not small.isEmpty() and not large.isEmpty():
-                rest = self.open(self.compare(small, PIVOTS).unionByName(large))
-        pivots = PIVOTS
+        rest = self.buckets()
+        pivots = 1
         while not rest.isEmpty():
             rest = self.open(self.compare(rest, pivots))
-            pivots *= 2
+            if not rest.isEmpty():
+                rest = self.open(self.hopeful(rest))
+            pivots = PIVOTS if pivots == 1 else 2 * pivots
         if self.named is None:
-            return self.classes.select(F.col("content").alias("node"), F.col("content").alias("component")).limit(0)
+            return self.texts.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
         return self.named
 
 
@@ -353,16 +400,17 @@ def _judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.first("n").alias("n"),
             F.first("sketches").alias("sketches"),
         )
+        .withColumn("id", F.monotonically_increasing_id())
     )
 
     def sequences(wanted: DataFrame) -> DataFrame:
-        places = keep(classes.join(wanted, "content", "left_semi").select("content", F.col("stays.at").alias("__at")))
+        places = keep(classes.join(wanted, "id", "left_semi").select("id", F.col("stays.at").alias("__at")))
         texts = checked_join(rows.select("__at", "text"), places, "__at", "inner", 192)
-        return texts.select("content", _sequence(F.col("text")).alias("sequence"))
+        return texts.select("id", _sequence(F.col("text")).alias("sequence"))
 
-    named = _Classes(classes, sequences).run()
-    grouped = classes.join(named.withColumnRenamed("node", "content"), "content", "left").withColumn(
-        "component", F.coalesce("component", "content")
+    named = _Classes(classes.select("id", "n", "sketches"), sequences).run()
+    grouped = classes.drop("sketches").join(named.withColumnRenamed("node", "id").hint("shuffle_merge"), "id", "left").withColumn(
+        "component", F.coalesce("component", "id")
     )
     whole = grouped.groupBy("component").agg(F.max("stays").alias("stays"), F.sum("rows").alias("rows"))
     final = keep(
@@ -389,4 +437,4 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class; columns as they were."""
     rows, judged = _judged(docs)
     dropped = keep(judged.filter("NOT kept").select(F.col("at").alias("__at")))
-    return checked_join(rows, dropped, "__at", "left_anti", 160).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(checked_join(rows, dropped, "__at", "left_anti", 160), docs)

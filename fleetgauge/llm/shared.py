@@ -66,16 +66,54 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What a plan may hold whose rows are rows of files, each at most once.
+_PLAIN = {"LogicalRelation", "Project", "Filter", "SubqueryAlias"}
+_TAKEN = ("__at", "_metadata")
+
+
+def _plain(docs: DataFrame) -> bool:
+    """Whether every row is one row of a file, and the same one whenever it is read."""
+    todo = [docs._jdf.queryExecution().analyzed()]
+    if not todo[0].deterministic():
+        return False
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() not in _PLAIN:
+            return False
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return True
+
+
+def _inner_names(columns: list[str]) -> list[str]:
+    """``columns`` with other names for those that ``located`` needs itself."""
+    free = "__own"
+    while any(c.lower().startswith(free) for c in columns):
+        free += "_"
+    return [f"{free}{i}" if c.lower() in _TAKEN else c for i, c in enumerate(columns)]
+
+
 def located(docs: DataFrame) -> DataFrame:
     """``docs`` with a column ``__at`` that tells its rows apart: the file and place of each.
 
-    A frame that isn't read from files is written first.
+    A frame whose rows aren't those of files one by one, as after a join or an explode, is
+    written first. Columns with a name that is needed here get another one until ``restored``.
     """
     where = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    try:
-        return docs.withColumn("__at", where)
-    except AnalysisException:
-        return keep(docs).withColumn("__at", where)
+    names = _inner_names(docs.columns)
+    if names == docs.columns and _plain(docs):
+        try:
+            return docs.withColumn("__at", where)
+        except AnalysisException:
+            # A source without places, such as rows that the session holds.
+            pass
+    return keep(docs.toDF(*names)).withColumn("__at", where)
+
+
+def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` as they were, from rows that ``located`` made of it."""
+    names = _inner_names(docs.columns)
+    return rows.select(*[F.col(f"`{inner}`").alias(own) for inner, own in zip(names, docs.columns, strict=True)])
 
 
 @contextmanager

@@ -242,15 +242,29 @@ def sample(docs: DataFrame, labels: DataFrame, chosen: Column, rows: int, most_b
 def fit(
     docs: DataFrame, labels: DataFrame, chosen: Column, *, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES
 ) -> Model:
-    """A model of the labelled rows that ``chosen`` (over ``labels``) takes."""
-    found = sample(docs, labels, chosen, rows, most_bytes).toArrow()
-    texts, toxic = found["text"].to_pylist(), found["toxic"].to_pylist()
-    del found
-    if len(set(toxic)) < 2:
+    """A model of the labelled rows that ``chosen`` (over ``labels``) takes.
+
+    One task trains it on the bounded sample; only the model comes to the driver.
+    """
+    found = sample(docs, labels, chosen, rows, most_bytes).coalesce(1)
+    trained = found.mapInArrow(_trained, "share binary, bias double, classes int").first()
+    if trained is None or trained["classes"] < 2:
         given = docs.select("doc_id").join(_labelled(labels, chosen), "doc_id").select("toxic").distinct().count()
         if given == 2:
             raise ValueError("the sample of labelled rows lacks one of the two classes that the labels have")
-    return train(texts, toxic)
+    if trained is None:
+        return train([], [])
+    return Model(np.frombuffer(trained["share"], np.float32), trained["bias"])
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts, toxic = [], []
+    for batch in batches:
+        texts += batch.column(0).to_pylist()
+        toxic += batch.column(1).to_pylist()
+    model = train(texts, toxic)
+    columns = [pa.array([model.share.tobytes()]), pa.array([model.bias]), pa.array([len(set(toxic))], pa.int32())]
+    yield pa.RecordBatch.from_arrays(columns, ["share", "bias", "classes"])
 
 
 def with_score(docs: DataFrame, model: Model, *, into: str = "score", text: str = "text") -> DataFrame:

@@ -104,9 +104,9 @@ def clusters(seed=3):
     return rows, truth
 
 
-@pytest.mark.parametrize("divided", [nd.DIVIDED, 3])
-def test_classes_of_edited_copies(spark, monkeypatch, divided):
-    monkeypatch.setattr(nd, "DIVIDED", divided)
+@pytest.mark.parametrize("pivots", [nd.PIVOTS, 1])
+def test_classes_of_edited_copies(spark, monkeypatch, pivots):
+    monkeypatch.setattr(nd, "PIVOTS", pivots)
     rows, truth = clusters()
     found = {r.doc_id: r for r in nd.near_classes(documents(spark, rows).repartition(3)).collect()}
     expected = {key: max(k for k, c in truth.items() if c == own) for key, own in truth.items()}
@@ -114,22 +114,115 @@ def test_classes_of_edited_copies(spark, monkeypatch, divided):
     assert sum(r.kept for r in found.values()) == len(set(truth.values()))
 
 
-def test_two_common_sketches_do_in_a_large_bucket(spark, monkeypatch):
-    monkeypatch.setattr(nd, "DIVIDED", 3)
+def given_classes(spark, texts, sketches):
+    """Classes of texts with made-up sketches."""
+    rows = [(i, len(text.split()), sketches(i)) for i, text in enumerate(texts)]
+    classes = spark.createDataFrame(rows, "id long, n long, sketches array<long>")
+    given = [(i, sequence(text).tobytes()) for i, text in enumerate(texts)]
+    sequences = spark.createDataFrame(given, "id long, sequence binary")
+    return nd._Classes(classes, lambda wanted: sequences.join(wanted, "id", "left_semi"))
+
+
+@pytest.mark.parametrize("common, linked", [(4, True), (3, False)])
+def test_the_same_sketches_are_asked_for_in_a_large_bucket(spark, monkeypatch, common, linked):
+    monkeypatch.setattr(nd, "PIVOTS", 1)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(150)]
     texts = [" ".join(words), " ".join(edited(rng, words, 1))]
     texts += [" ".join(f"o{i}x{k}" for k in range(150)) for i in range(12)]
-    # All share sketches 0 and 1; the others also share a third, so that one of them is the first pivot.
-    rows = [
-        (b"%02d" % i, 150, [1, 2, 3 if i > 1 else 100 + i, *(1000 * i + k for k in range(4, 21))])
-        for i in range(len(texts))
-    ]
-    classes = spark.createDataFrame(rows, "content binary, n long, sketches array<long>")
-    given = [(b"%02d" % i, sequence(text).tobytes()) for i, text in enumerate(texts)]
-    sequences = spark.createDataFrame(given, "content binary, sequence binary")
-    found = nd._Classes(classes, lambda wanted: sequences.join(wanted, "content", "left_semi")).run().collect()
-    assert {bytes(r.node): bytes(r.component) for r in found} == {b"00": b"00", b"01": b"00"}
+
+    def sketches(i):
+        # All share the first ``common`` sketches; the others also share a further one, so one of them is the first pivot.
+        return [*range(common), 77 if i > 1 else 100 + i, *(1000 * (i + 1) + k for k in range(common + 1, 20))]
+
+    found = given_classes(spark, texts, sketches).run().collect()
+    assert {r.node: r.component for r in found} == ({0: 0, 1: 0} if linked else {})
+
+
+def test_rounds_write_no_squares(spark, monkeypatch):
+    """Copies too far from each other: their own shingles tell it, so they aren't compared pair by pair."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(edited(rng, words, 14)) for _ in range(120)] + [" ".join(edited(rng, words, 1)) for _ in range(30)]
+    classes = given_classes(spark, texts, lambda i: list(range(20)))
+    seen = []
+    verify = nd._Classes._verify
+
+    def counted(self, pairs):
+        seen.append(pairs.count())
+        verify(self, pairs)
+
+    monkeypatch.setattr(nd._Classes, "_verify", counted)
+    found = {r.node: r.component for r in classes.run().collect()}
+    assert {found.get(i, i) for i in range(120, 150)} == {120}
+    assert sum(seen) <= 4 * len(texts)
+
+
+def true_classes(rows):
+    """Classes by the stated similarity of all pairs of different texts, each named by its largest id."""
+    sequences = {}
+    for key, text in rows:
+        words = sequence(text or "")
+        if len(words):
+            sequences.setdefault(words.tobytes(), []).append(key)
+    parts = [(np.frombuffer(k, np.uint64), v) for k, v in sequences.items()]
+    holders = {}
+    for i, (words, _) in enumerate(parts):
+        for s in set(nd.shingles(words).tolist()):
+            holders.setdefault(s, []).append(i)
+    least = list(range(len(parts)))
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    links = set()
+    for i in range(len(parts)):
+        near = set().union(*(h for s in set(nd.shingles(parts[i][0]).tolist()) if (h := holders[s])))
+        for j in near:
+            if j < i and nd.similarity(parts[i][0], parts[j][0]) >= 0.8:
+                links.add((i, j))
+                least[root(i)] = root(j)
+    names = {}
+    for i, (_, keys) in enumerate(parts):
+        names.setdefault(root(i), []).extend(keys)
+    alone = {key: key for key, text in rows if not len(sequence(text or ""))}
+    return alone | {key: max(keys) for keys in names.values() for key in keys}, links
+
+
+def recall(found, expected):
+    """Share of the copies that should go which go."""
+    going = [key for key, name in expected.items() if key != name]
+    return sum(found[key] == expected[key] for key in going) / max(len(going), 1)
+
+
+def test_given_documents_against_all_pairs(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    expected, links = true_classes([(r.doc_id, r.text) for r in df.collect()])
+    found = {r.doc_id: r.class_id for r in nd.near_classes(df).collect()}
+    assert len(links) > 3
+    assert recall(found, expected) >= 0.95
+    assert all(expected[found[key]] == expected[key] for key in found)
+
+
+def test_a_common_passage_against_all_pairs(spark):
+    """Copies of all distances around the limit, in texts that share a passage."""
+    rng = random.Random(12)
+    passage = [f"common{i}" for i in range(25)]
+    rows = []
+    for base in range(60):
+        words = [f"b{base}x{rng.randrange(10**6)}" for _ in range(rng.randint(60, 160))]
+        at = rng.randrange(len(words))
+        words = words[:at] + passage + words[at:]
+        for _ in range(rng.randrange(1, 7)):
+            rows.append((len(rows), " ".join(edited(rng, words, rng.randrange(0, 7)))))
+    expected, links = true_classes(rows)
+    found = {r.doc_id: r.class_id for r in nd.near_classes(documents(spark, rows)).collect()}
+    assert len(links) > 100
+    assert recall(found, expected) >= 0.95
+    # Nothing is joined that isn't linked.
+    assert all(expected[found[key]] == expected[key] for key in found)
 
 
 def test_a_large_group_of_near_copies_is_one_class(spark):

@@ -3,16 +3,17 @@
 Every block of a page has a path of tags from the root to its leaf. Per path the text lengths
 and punctuation marks of its blocks are summed and divided by the number of blocks, and the
 share of text in links is taken off; each block gets the ratios of its path. Both ratios are
-smoothed over the blocks in page order, multiplied, and blocks above a share of the standard
-deviation are content. The container is the deepest element that holds most of the content's
-score; its blocks are the main text. Parts that are beside the article by their tag or by words
-of their class, id or role (menus, forms, adverts, comments ...) are no blocks, unless they hold
-an article or main element that is not small, or most of the page's plain text while no such
-element has text outside of them. If little would be left, no part is beside. Headers within an
-article or main element belong to it.
-
-A page is parsed by a linear pass over its tags. Unclosed elements end with their parent,
-unclosed tags with the page.
+smoothed over the blocks in page order and multiplied, and a path's score is the mean of its
+blocks'. Tags and words of class, id or role that name parts beside an article (menus, forms,
+adverts, comments ...) are marked in the path and only weigh: each makes the scores below it
+smaller, an article or main element larger. Paths above a share of the deviation of all scores
+are content. The container is the deepest element that holds most of the content's score; the main
+text is its blocks but for those in marked parts within it whose paths are not content. So a
+marked wrapper around everything changes nothing, and a marked part beside the article is left.
+
+A page is parsed by a linear pass over its tags, in time that doesn't depend on the depth of its
+elements. Unclosed elements end with their parent, unclosed tags with the page. Hidden elements,
+scripts, styles and choices have no text.
 
 Defined cases: a null, empty or text-less page has an empty text. Text outside of any tag is a
 block. Pages are whole: nothing is cut. Repeated rows are read one by one; other columns are
@@ -32,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Share of the standard deviation of the fused score that makes a block content.
-THRESHOLD = 0.8
+#: Share of the deviation of the blocks' scores, from 0, above which a path is content.
+THRESHOLD = 0.4
 #: Share of the content's score that the container must hold.
 HELD = 0.7
-#: Share of the page's plain text below which an article or main element, or what is left, is small.
-LITTLE = 0.1
+#: What a mark in a path, and an article or main element, multiply its score by.
+MARKED, LEADING = 0.05, 4.0
 #: Weights of a block and its neighbours when ratios are smoothed.
 KERNEL = np.array([0.25, 0.5, 0.25])
 
@@ -49,8 +50,7 @@ INLINE = frozenset(
     "small span strike strong sub sup time tt u var wbr".split()
 )
 NO_TEXT = frozenset(
-    "script style textarea title xmp iframe noembed noframes template select option svg math object canvas audio "
-    "video".split()
+    "script style textarea title xmp iframe noembed noframes template select option svg object canvas audio video".split()
 )
 BESIDE = frozenset("head nav footer header aside form noscript button dialog menu".split())
 ARTICLE = frozenset(("article", "main"))
@@ -60,6 +60,13 @@ BESIDE_WORDS = frozenset(
     "notification pagination popup promo promoted promotion related remark remarks respond search share sharing "
     "sidebar signup social sponsor sponsored subscribe toolbar widget alert complementary contentinfo".split()
 )
+#: Words that say nothing beside those: "comment list" names comments, "share price" nothing.
+NEUTRAL_WORDS = frozenset(
+    "area bar block bottom box col column container content footer group inner item items left link links list main "
+    "outer page post posts primary region right secondary section site slot top unit wrap wrapper zone".split()
+)
+#: Elements that can't be parts of a page.
+_SMALL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead caption figure figcaption blockquote pre hr".split())
 #: Elements that a new block ends.
 _CLOSED_BY_BLOCK = "p"
 _CLOSED_BY_SELF = {
@@ -78,24 +85,26 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<more>(?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)",
     re.DOTALL,
 )
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"\shidden(?:[\s=/]|\Z)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z]+")
 _MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "none", "beside", "inline", "path", "score", "children", "leaf", "within", "mark", "held")
+    """An open or closed element. ``number`` is its place among the page's elements, parents first."""
 
-    def __init__(self, tag: str, parent: Element | None, beside: bool):
-        self.tag, self.parent, self.inline = tag, parent, tag in INLINE
-        self.none = tag in NO_TEXT or (parent is not None and parent.none)
-        self.beside = beside or self.none or (parent is not None and parent.beside)
-        #: Whether it is within an article or main element, the nearest marked element, and the plain text it holds.
+    __slots__ = ("tag", "number", "none", "inline", "within", "linked", "marks", "path", "block")
+
+    def __init__(self, tag: str, parent: Element | None, number: int, path: int, marked: bool, none: bool):
+        self.tag, self.number, self.path, self.inline = tag, number, path, tag in INLINE
+        self.none = none or tag in NO_TEXT or (parent is not None and parent.none)
+        #: Whether it is within an article or main element, and within a link.
         self.within = parent is not None and (parent.within or parent.tag in ARTICLE)
-        self.mark, self.held = self if parent is None else parent.mark, 0
-        self.path = f"{parent.path}/{tag}" if parent is not None else tag
-        self.score, self.children, self.leaf = 0.0, [], False
+        self.linked = tag == "a" or (parent is not None and parent.linked)
+        self.marks = marked + (parent.marks if parent is not None else 0)
+        #: The nearest element that isn't inline.
+        self.block = parent.block if self.inline and parent is not None else self
 
 
 class Block:
@@ -103,175 +112,152 @@ class Block:
 
     __slots__ = ("owner", "path", "text", "linked")
 
-    def __init__(self, owner: Element, path: str, text: str, linked: int):
+    def __init__(self, owner: Element, path: int, text: str, linked: int):
         self.owner, self.path, self.text, self.linked = owner, path, text, linked
 
 
-def _is_beside(tag: str, more: str, within: bool) -> bool:
-    """Whether an element's tag or attributes say so; ``within`` an article, headers are its own."""
-    if tag in BESIDE and not (within and tag == "header"):
-        return True
-    if not more or tag in ("html", "body", "article", "main"):
-        return False
-    if _HIDDEN.search(more):
-        return True
-    named = " ".join(a or b or c for a, b, c in _NAMED.findall(more)).lower()
-    if not named:
-        return False
-    words = BESIDE_WORDS.intersection(_SPLIT.split(named))
-    return bool(words - {"header"} if within else words)
+def _attributes(more: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(more):
+        found.setdefault(name.lower(), "".join(values))
+    return found
 
 
-def _wrappers(marked: list[tuple[Element, bool]]) -> set[int]:
-    """Numbers of the marked elements that are not beside the article, whatever their tags and words say.
+def _is_hidden(attributes: dict[str, str]) -> bool:
+    return (
+        "hidden" in attributes
+        or attributes.get("aria-hidden", "").strip().lower() == "true"
+        or _NO_DISPLAY.search(attributes.get("style", "")) is not None
+    )
 
-    ``marked`` has the root, all article and main elements and all that look beside, in page order,
-    and whether they look so.
-    """
-    number = {id(e): k for k, (e, _) in enumerate(marked)}
-    above = [number[id(e.parent.mark)] if e.parent is not None else -1 for e, _ in marked]
-    own = [e.held for e, _ in marked]
-    held, lead = list(own), [0] * len(marked)
-    for k in range(len(marked) - 1, 0, -1):
-        if marked[k][0].tag in ARTICLE:
-            lead[k] = max(lead[k], held[k])
-        held[above[k]] += held[k]
-        lead[above[k]] = max(lead[above[k]], lead[k])
-    little = LITTLE * held[0]
-    if not held[0]:
-        return set()
-    articles = [k for k, (e, _) in enumerate(marked) if e.tag in ARTICLE and held[k] >= little]
-
-    def around(k: int) -> set[int]:
-        found = set()
-        while k >= 0:
-            found.add(k)
-            k = above[k]
-        return found
-
-    kept, left, dropped = set(), 0, [False] * len(marked)
-    for k, (_, beside) in enumerate(marked):
-        if beside:
-            whole = lead[k] >= little and 2 * lead[k] > lead[0]
-            if not whole and 2 * held[k] > held[0]:
-                outer = around(k)
-                # What an article or main element has outside of this one.
-                whole = all(
-                    k in around(a) or (held[a] - held[k] if a in outer else held[a]) < little for a in articles
-                )
-            if whole:
-                kept.add(k)
-        dropped[k] = (k > 0 and dropped[above[k]]) or (beside and k not in kept)
-        left += 0 if dropped[k] else own[k]
-    return kept if left >= little else {k for k, (_, beside) in enumerate(marked) if beside}
-
-
-def blocks(html: str) -> list[Block]:
-    """The page's blocks outside of parts beside the article."""
-    found, marked = _parsed(html, frozenset())
-    kept = _wrappers(marked)
-    return _parsed(html, kept)[0] if kept else found
-
-
-def _parsed(html: str, kept: set[int] | frozenset[int]) -> tuple[list[Block], list[tuple[Element, bool]]]:
-    """Blocks outside of marked elements that look beside but for those numbered ``kept``; marked elements."""
-    root = Element("", None, False)
-    stack = [root]
-    marked = [(root, False)]
-    found: list[Block] = []
-    pieces: list[str] = []
-    linked = 0
-    path = ""
-
-    def flush() -> None:
-        nonlocal linked
-        text = " ".join("".join(pieces).split())
-        if text:
-            owner = stack[-1]
-            while owner.inline and owner.parent is not None:
-                owner = owner.parent
-            found.append(Block(owner, path or owner.path, text, min(linked, len(text))))
-        pieces.clear()
-        linked = 0
-
-    def say(text: str) -> None:
-        nonlocal linked, path
-        top = stack[-1]
-        if not text or top.none:
-            return
-        in_link = any(e.tag == "a" for e in stack[-1:-6:-1])
-        if not in_link:
-            top.mark.held += len(text.strip())
-        if top.beside:
-            return
-        if not pieces:
-            path = top.path
-        decoded = unescape(text)
-        pieces.append(decoded)
-        if in_link:
-            linked += len(decoded.strip())
-
-    def close(depth: int) -> None:
-        if any(not e.inline for e in stack[depth:]):
-            flush()
-        del stack[depth:]
-
-    at, size = 0, len(html)
-    while at < size:
-        match = _TOKEN.search(html, at)
-        if match is None:
-            say(html[at:])
-            break
-        say(html[at : match.start()])
-        at = match.end()
-        tag = match["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if match["end"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    close(depth)
-                    break
-                if stack[depth].tag in _SCOPE and tag in INLINE | {"p", "li"}:
-                    break
-            continue
-        inline = tag in INLINE
-        if not inline:
-            flush()
-            _end_implied(stack, tag)
-        if tag in VOID:
-            if tag in ("br", "wbr", "img") and tag == "br":
-                pieces.append(" ")
-            continue
-        more = match["more"] or ""
-        within = stack[-1].within or stack[-1].tag in ARTICLE
-        beside = _is_beside(tag, more, within)
-        element = Element(tag, stack[-1], beside and len(marked) not in kept)
-        if beside or tag in ARTICLE:
-            marked.append((element, beside))
-            element.mark = element
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.IGNORECASE).search(html, at)
-            at = end.end()
-            continue
-        if more.endswith("/") and tag in ("path", "circle", "rect", "use"):
-            continue
-        if element.beside and inline and not stack[-1].beside and pieces:
-            pieces.append(" ")
-        stack.append(element)
-    flush()
-    return found, marked
-
-
-def _end_implied(stack: list[Element], tag: str) -> None:
+
+def _is_marked(tag: str, attributes: dict[str, str], within: bool) -> bool:
+    """Whether an element's tag or words name a part beside an article; ``within`` one, headers are its own."""
+    if tag in BESIDE:
+        return not (within and tag == "header")
+    if tag in ARTICLE and not within or tag in INLINE or tag in _SMALL or tag in ("html", "body"):
+        return False
+    own = BESIDE_WORDS - {"header"} if within else BESIDE_WORDS
+    for name in ("class", "id", "role"):
+        for value in attributes.get(name, "").lower().split():
+            words = set(_SPLIT.split(value)) - {""}
+            if words & own and not words - own - NEUTRAL_WORDS:
+                return True
+    return False
+
+
+class Page:
+    """A parsed page: its blocks, the parent of every element, and what each path weighs."""
+
+    def __init__(self, html: str):
+        self.blocks: list[Block] = []
+        self.parents: list[int] = [-1]
+        self.weights: list[float] = [1.0]
+        self._paths: dict[tuple[int, str, bool], int] = {}
+        self._read(html)
+
+    def _path(self, parent: int, tag: str, marked: bool) -> int:
+        key = (parent, tag, marked)
+        known = self._paths.get(key)
+        if known is None:
+            known = self._paths[key] = len(self.weights)
+            self.weights.append(self.weights[parent] * (MARKED if marked else LEADING if tag in ARTICLE else 1.0))
+        return known
+
+    def _read(self, html: str) -> None:
+        root = Element("", None, 0, 0, False, False)
+        stack = [root]
+        open_tags: defaultdict[str, int] = defaultdict(int)
+        pieces: list[str] = []
+        linked = path = 0
+
+        def flush() -> None:
+            nonlocal linked
+            text = " ".join("".join(pieces).split())
+            if text:
+                self.blocks.append(Block(stack[-1].block, path, text, min(linked, len(text))))
+            pieces.clear()
+            linked = 0
+
+        def say(text: str) -> None:
+            nonlocal linked, path
+            top = stack[-1]
+            if not text or top.none:
+                return
+            if not pieces:
+                path = top.path
+            decoded = unescape(text)
+            pieces.append(decoded)
+            if top.linked:
+                linked += len(decoded.strip())
+
+        def close(depth: int) -> None:
+            if any(not e.inline for e in stack[depth:]):
+                flush()
+            cut(depth)
+
+        def cut(depth: int) -> None:
+            for element in stack[depth:]:
+                open_tags[element.tag] -= 1
+            del stack[depth:]
+
+        at, size = 0, len(html)
+        while at < size:
+            match = _TOKEN.search(html, at)
+            if match is None:
+                say(html[at:])
+                break
+            say(html[at : match.start()])
+            at = match.end()
+            tag = match["tag"]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if match["end"]:
+                if not open_tags[tag]:
+                    continue
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth].tag == tag:
+                        close(depth)
+                        break
+                    if stack[depth].tag in _SCOPE and tag in INLINE | {"p", "li"}:
+                        break
+                continue
+            if tag not in INLINE:
+                flush()
+                _end_implied(stack, open_tags, tag, cut)
+            if tag in VOID:
+                if tag == "br":
+                    pieces.append(" ")
+                continue
+            more = match["more"] or ""
+            top = stack[-1]
+            attributes = _attributes(more) if more else {}
+            marked = not top.none and _is_marked(tag, attributes, top.within or top.tag in ARTICLE)
+            if tag in RAW:
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.IGNORECASE).search(html, at)
+                at = end.end()
+                continue
+            if more.endswith("/") and tag in ("path", "circle", "rect", "use"):
+                continue
+            number = len(self.parents)
+            self.parents.append(top.number)
+            none = bool(attributes) and _is_hidden(attributes)
+            stack.append(Element(tag, top, number, self._path(top.path, tag, marked), marked, none))
+            open_tags[tag] += 1
+        flush()
+
+
+def _end_implied(stack: list[Element], open_tags: dict[str, int], tag: str, cut) -> None:
     """End an open paragraph before a block, and an item before its next."""
     ends = _CLOSED_BY_SELF.get(tag, frozenset())
+    if not open_tags[_CLOSED_BY_BLOCK] and not any(open_tags[end] for end in ends):
+        return
     for depth in range(len(stack) - 1, 0, -1):
         open_tag = stack[depth].tag
         if open_tag == _CLOSED_BY_BLOCK or open_tag in ends:
-            del stack[depth:]
-            if open_tag != _CLOSED_BY_BLOCK:
+            cut(depth)
+            if open_tag != _CLOSED_BY_BLOCK or not ends:
                 return
         elif open_tag in _SCOPE or (not stack[depth].inline and not ends):
             return
@@ -282,65 +268,74 @@ def _smoothed(values: np.ndarray) -> np.ndarray:
     return np.convolve(values, KERNEL, "same")[: len(values)] / weight[: len(values)] if len(values) >= 3 else values
 
 
-def scores(found: list[Block]) -> np.ndarray:
-    """Fused score of every block: smoothed path ratios of text and punctuation."""
+def path_scores(page: Page) -> dict[int, float]:
+    """Fused score of every path: smoothed ratios of text and punctuation, weighed by its marks."""
     text, marks, links, count = (defaultdict(float) for _ in range(4))
-    for block in found:
+    for block in page.blocks:
         text[block.path] += len(block.text)
         marks[block.path] += 1 + len(_MARKS.findall(block.text))
         links[block.path] += block.linked
         count[block.path] += 1
     plain = {p: (text[p] - links[p]) / count[p] for p in text}
     pointed = {p: marks[p] / count[p] * (1 - links[p] / text[p]) for p in text}
-    by_text = _smoothed(np.array([plain[b.path] for b in found]))
-    by_marks = _smoothed(np.array([pointed[b.path] for b in found]))
-    return by_text * by_marks
+    weight = np.array([page.weights[b.path] for b in page.blocks])
+    by_text = _smoothed(np.array([plain[b.path] for b in page.blocks]))
+    by_marks = _smoothed(np.array([pointed[b.path] for b in page.blocks]))
+    fused = defaultdict(float)
+    for block, value in zip(page.blocks, by_text * by_marks * weight, strict=True):
+        fused[block.path] += value / count[block.path]
+    return dict(fused)
+
+
+def content_paths(page: Page, scores: dict[int, float]) -> set[int]:
+    """Paths whose score is above the threshold."""
+    each = np.array([scores[b.path] for b in page.blocks])
+    least = THRESHOLD * np.sqrt((each**2).mean())
+    return {p for p, value in scores.items() if value >= least}
 
 
-def _container(found: list[Block], score: np.ndarray, content: np.ndarray) -> Element:
+def _container(page: Page, scores: dict[int, float], content: set[int]) -> int:
     """Deepest element, above the single blocks, that holds most of the content's score."""
-    elements: dict[int, Element] = {}
-    for block, value, kept in zip(found, score, content, strict=True):
-        weight = len(block.text) - block.linked + 1e-3 if kept else 0.0
-        block.owner.leaf = True
-        element = block.owner
-        while element is not None:
-            if id(element) not in elements:
-                elements[id(element)] = element
-                element.score = 0.0
-                if element.parent is not None:
-                    element.parent.children.append(element)
-            element.score += weight
-            element = element.parent
-    root = found[0].owner
-    while root.parent is not None:
-        root = root.parent
-    at = root
-    while at.children:
-        best = max(at.children, key=lambda e: e.score)
-        if best.score < HELD * at.score or (best.leaf and not best.children):
+    held = np.zeros(len(page.parents))
+    below: dict[int, list[int]] = defaultdict(list)
+    there = np.zeros(len(page.parents), bool)
+    for block in page.blocks:
+        there[block.owner.number] = True
+        if block.path in content:
+            held[block.owner.number] += scores[block.path]
+    for number in range(len(page.parents) - 1, 0, -1):
+        if there[number]:
+            parent = page.parents[number]
+            there[parent] = True
+            held[parent] += held[number]
+            below[parent].append(number)
+    at = 0
+    while below[at]:
+        best = max(below[at], key=lambda n: held[n])
+        if held[best] < HELD * held[at] or not below[best]:
             break
         at = best
     return at
 
 
-def main_text(html: str | None) -> str:
-    """The main text of a page: its container's blocks, joined by one space."""
-    found = blocks(html or "")
-    if not found:
-        return ""
-    score = scores(found)
-    content = score >= THRESHOLD * score.std()
-    holder = _container(found, score, content)
-
-    def inside(element: Element | None) -> bool:
-        while element is not None:
-            if element is holder:
-                return True
-            element = element.parent
-        return False
+def main_text(html: str | None, scored=path_scores) -> str:
+    """The main text of a page: its container's blocks, joined by one space.
 
-    return " ".join(block.text for block in found if inside(block.owner))
+    ``scored`` gives the score of every path.
+    """
+    page = Page(html or "")
+    if not page.blocks:
+        return ""
+    scores = scored(page)
+    content = content_paths(page, scores)
+    holder = _container(page, scores, content)
+    inside = [False] * len(page.parents)
+    inside[holder] = True
+    for number in range(holder + 1, len(page.parents)):
+        inside[number] = inside[page.parents[number]]
+    within = [b for b in page.blocks if inside[b.owner.number]]
+    least = min(b.owner.marks for b in within)
+    return " ".join(b.text for b in within if b.owner.marks == least or b.path in content)
 
 
 @F.arrow_udf(StringType())

@@ -1,9 +1,12 @@
 import html
+import random
 import re
+import time
 
 import pyarrow.parquet as pq
 import pytest
 
+from fleetgauge.llm import html_text
 from fleetgauge.llm.html_text import extract_text, main_text
 
 PARAGRAPH = "A long and honest sentence, with commas, about the matter at hand. And one more, so that it counts."
@@ -81,7 +84,7 @@ def test_a_head_without_its_end_and_parts_beside_alone():
 
 def test_given_pages_give_their_articles():
     """The tables' pages have one article element each; a plain reading of it must be found."""
-    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
+    for page in given_pages():
         article = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.DOTALL)
         body = re.sub(r"<[^>]*\Z", "", article[1] if article else "")
         parts = re.split(r"</?(?:p|h1)>|<br>", body)
@@ -89,6 +92,60 @@ def test_given_pages_give_their_articles():
         assert main_text(page) == " ".join(plain.split())
 
 
+def given_pages():
+    return pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+
+
+def test_the_scores_choose_the_text():
+    """Other scores give other texts; without the lists of tags and words the scores still find most articles."""
+    rng = random.Random(1)
+    pages = given_pages()
+    true = [main_text(page) for page in pages]
+    chance = [main_text(page, lambda p: {b.path: rng.random() for b in p.blocks}) for page in pages]
+    assert sum(a != b for a, b in zip(true, chance, strict=True)) > len(pages) / 2
+
+
+def test_without_the_lists_the_scores_find_the_articles(monkeypatch):
+    pages = given_pages()
+    true = [main_text(page) for page in pages]
+    monkeypatch.setattr(html_text, "BESIDE", frozenset())
+    monkeypatch.setattr(html_text, "BESIDE_WORDS", frozenset())
+    found = [main_text(page) for page in pages]
+    assert sum(a == b for a, b in zip(true, found, strict=True)) >= 0.95 * len(pages)
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<p title='a hidden gem'>{}</p>",
+        "<section class='related-work'><p>{}</p></section>",
+        "<p class=share-price>{}</p>",
+        "<p>see <span class=notice>{}</span></p>",
+        "<div data-id=comments><p>{}</p></div>",
+        "<p><math>{}</math></p>",
+        "<p data-style='display: none'>{}</p>",
+    ],
+)
+def test_attributes_and_words_that_name_no_part(part):
+    inner = "Inner words, one or two."
+    page = f"<body><nav><a href=x>Menu</a></nav><article><h1>T</h1><p>{PARAGRAPH}</p>{part.format(inner)}<p>{PARAGRAPH}</p></article></body>"
+    assert inner in main_text(page)
+
+
+@pytest.mark.parametrize("attribute", ["hidden", "style='display:none'", "aria-hidden=true"])
+def test_hidden_parts_have_no_text(attribute):
+    assert main_text(f"<body><p>{PARAGRAPH}</p><p {attribute}>{PARAGRAPH}</p><p>End.</p></body>") == f"{PARAGRAPH} End."
+
+
+@pytest.mark.parametrize(
+    "page", ["<div>x" * 50_000, "<b>" * 50_000 + "<p>x" * 50_000, "<div>" * 50_000 + "</x>" * 50_000 + "<p>y", "<a>x" * 50_000]
+)
+def test_deep_pages_end_in_seconds(page):
+    start = time.perf_counter()
+    assert main_text(page)
+    assert time.perf_counter() - start < 20
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", None, 1), (None, None, "<p>x</p>", 2), (1, "u", None, 1)]
     found = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int"))

@@ -24,25 +24,27 @@ def _round(edges: DataFrame) -> DataFrame:
     return moved.unionByName(small.select("u", F.col("least").alias("v"))).distinct()
 
 
-def _state(edges: DataFrame):
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node of one edge only to a least node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    found = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return found.filter("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge; a component is named by its least node.
 
-    ``edges`` has columns u and v. Large-star and small-star steps are repeated until they
-    change nothing; each result is a table in the shared folder.
+    ``edges`` has columns u and v. Large-star and small-star steps are repeated until only
+    stars are left; each result is a table in the shared folder.
     """
     now = keep(
         edges.filter("u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    before, state = None, _state(now)
-    while state != before:
-        before = state
+    while not _are_stars(now):
         now = keep(_round(now))
-        state = _state(now)
     named = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return named.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from fleetgauge.llm.components import components
 from fleetgauge.llm.decontaminate import Words
-from fleetgauge.llm.shared import arrow_rows, checked_join, keep, located, restored, shared_folder
+from fleetgauge.llm.shared import arrow_rows, checked_join, keep, located, restored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -47,7 +47,7 @@ PICKED = 3
 #: and is a candidate with a probability of 0.988; at a similarity of 0.85 with one of 0.9987.
 COMMON = 4
 #: Pivots of a bucket in the first round after one pivot each; later rounds take twice as many as the one before.
-PIVOTS = 16
+PIVOTS = 128
 #: Pairs of texts that a Python worker gets at once.
 PAIRS_AT_ONCE = 200
 
@@ -230,6 +230,27 @@ def _size(n: str) -> Column:
     return F.greatest(F.col(n) - (SHINGLE - 1), F.lit(1))
 
 
+def _possible(one: str, two: str) -> Column:
+    """Whether an alignment can hold enough shingles: no more than either text shares with others."""
+    aligned = F.least(f"{one}.most", f"{two}.most") * (1 + SIMILARITY)
+    return aligned >= SIMILARITY * (_size(f"{one}.n") + _size(f"{two}.n")) - 1e-6
+
+
+def _ends(one: str, two: str) -> list[Column]:
+    ids = (f"{one}.id", f"{two}.id")
+    return [F.greatest(*ids).alias("u"), F.least(*ids).alias("v")]
+
+
+def _equal(one: str, two: str) -> Column:
+    """How many sketches of two texts are equal; unlike numbers of sketches never are."""
+    return F.size(F.array_intersect(one, two))
+
+
+def _first_key(one: str, two: str) -> Column:
+    """Key of the first bucket that two texts share."""
+    return F.element_at(F.array_intersect(bucket_keys(F.col(one)), bucket_keys(F.col(two))), 1)
+
+
 class _Classes:
     """Rounds of comparison over the different texts of ``texts`` (id, n, sketches).
 
@@ -242,7 +263,6 @@ class _Classes:
         self.fetched = sequences
         self.sequences: DataFrame | None = None
         self.named: DataFrame | None = None
-        self.unlike: str | None = None
 
     def buckets(self) -> DataFrame:
         """Texts by two neighbouring sketches, where at least two share them."""
@@ -290,50 +310,56 @@ class _Classes:
         most = _size("n") - F.coalesce("own", F.lit(0))
         return rest.withColumn("most", most).drop("own").filter(most >= SIMILARITY * _size("n") - 1e-6)
 
-    def compare(self, members: DataFrame, pivots: int) -> DataFrame:
-        """One round: the pivots against all members of other components; members without the pivots."""
+    def first_round(self, members: DataFrame) -> DataFrame:
+        """One pivot for each bucket, the text that meets most others; members without them."""
         tie = F.xxhash64("id").alias("tie")
-        if pivots == 1:
-            degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
-            ranked = members.join(degree.hint("shuffle_merge"), "id")
-            first = F.struct("degree", tie, "id", "component", "n", "most")
-            best = ranked.groupBy("key").agg(F.max(first).alias("p"))
-        else:
-            # Members of small components first: a bucket is done when all but one are compared.
-            alike = members.groupBy("key", "component").agg(F.count("*").alias("alike"))
-            ranked = members.join(alike.hint("shuffle_merge"), ["key", "component"])
-            first = F.struct((-F.col("alike")).alias("alike"), tie, "id", "component", "n", "most")
-            part = F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("part")
-            best = ranked.groupBy("key", part).agg(F.max(first).alias("p"))
-        chosen = keep(best.select("key", "p.id", "p.component", "p.n", "p.most"))
-        # An alignment holds no more shingles than either text shares with others.
-        aligned = F.least("m.most", "p.most") * (1 + SIMILARITY)
-        pairs = (
-            members.alias("m")
-            .join(chosen.alias("p").hint("shuffle_merge"), "key")
-            .filter("m.component <> p.component AND m.id <> p.id")
-            .filter(aligned >= SIMILARITY * (_size("m.n") + _size("p.n")) - 1e-6)
-            .select(F.greatest("m.id", "p.id").alias("u"), F.least("m.id", "p.id").alias("v"))
-            .distinct()
-        )
-        self._verify(pairs)
-        return members.join(
-            chosen.select("key", "id").hint("shuffle_merge"), ["key", "id"], "left_anti"
-        )
-
-    def _verify(self, pairs: DataFrame) -> None:
-        """Align the pairs with enough equal sketches, and join what is similar."""
-        if self.unlike is not None:
-            known = pairs.sparkSession.read.schema("u long, v long").parquet(self.unlike)
-            pairs = pairs.join(known.hint("shuffle_merge"), ["u", "v"], "left_anti")
+        degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
+        ranked = members.join(degree.hint("shuffle_merge"), "id")
+        best = ranked.groupBy("key").agg(F.max(F.struct("degree", tie, "id", "n", "most")).alias("p"))
+        chosen = keep(best.select("key", "p.id", "p.n", "p.most"))
+        met = members.alias("m").join(chosen.alias("p").hint("shuffle_merge"), "key").filter("m.id <> p.id")
+        pairs = met.filter(_possible("m", "p")).select(*_ends("m", "p")).distinct()
         one = self.texts.select(F.col("id").alias("u"), F.col("sketches").alias("su"))
         two = self.texts.select(F.col("id").alias("v"), F.col("sketches").alias("sv"))
-        candidates = keep(
-            pairs.join(one.hint("shuffle_merge"), "u")
-            .join(two.hint("shuffle_merge"), "v")
-            .filter(F.size(F.array_intersect("su", "sv")) >= COMMON)
-            .select("u", "v")
+        both = pairs.join(one.hint("shuffle_merge"), "u").join(two.hint("shuffle_merge"), "v")
+        self._verify(both.filter(_equal("su", "sv") >= COMMON).select("u", "v"))
+        return self._without(members, chosen)
+
+    def compare(self, members: DataFrame, pivots: int) -> DataFrame:
+        """One round: the pivots against all members of other components; members without the pivots.
+
+        Members of small components come first: a bucket is done when all but one are compared.
+        Two texts are compared in the first bucket that they share, and there when the first of
+        them is a pivot, so no pair is written twice.
+        """
+        alike = members.groupBy("key", "component").agg(F.count("*").alias("alike"))
+        ranked = members.join(alike.hint("shuffle_merge"), ["key", "component"])
+        first = F.struct((-F.col("alike")).alias("alike"), F.xxhash64("id").alias("tie"), "id")
+        part = F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("part")
+        best = ranked.groupBy("key", part).agg(F.max(first).alias("p"))
+        chosen = keep(best.select("key", "p.id"))
+        flagged = members.join(
+            chosen.withColumn("pivot", F.lit(True)).hint("shuffle_merge"), ["key", "id"], "left"
+        ).join(self.texts.hint("shuffle_merge"), "id")
+        met = flagged.alias("m").join(
+            flagged.filter("pivot").alias("p").hint("shuffle_merge"),
+            (F.col("m.key") == F.col("p.key"))
+            & (F.col("m.component") != F.col("p.component"))
+            & (F.col("m.pivot").isNull() | (F.col("m.id") < F.col("p.id")))
+            & _possible("m", "p")
+            & (_equal("m.sketches", "p.sketches") >= COMMON)
+            & (F.col("m.key") == _first_key("m.sketches", "p.sketches")),
         )
+        self._verify(met.select(*_ends("m", "p")))
+        return self._without(members, chosen)
+
+    @staticmethod
+    def _without(members: DataFrame, chosen: DataFrame) -> DataFrame:
+        return members.join(chosen.select("key", "id").hint("shuffle_merge"), ["key", "id"], "left_anti")
+
+    def _verify(self, pairs: DataFrame) -> None:
+        """Align the candidates, and join what is similar."""
+        candidates = keep(pairs)
         if self.sequences is None:
             wanted = candidates.select(F.col("u").alias("id")).union(candidates.select("v")).distinct()
             sequences = keep(self.fetched(wanted))
@@ -347,9 +373,6 @@ class _Classes:
                 .join(second.hint("shuffle_merge"), "v")
                 .select("u", "v", _alike(F.col("a"), F.col("b")).alias("alike"))
             )
-        if self.unlike is None:
-            self.unlike = shared_folder(pairs.sparkSession)
-        judged.filter("NOT alike").select("u", "v").write.mode("append").parquet(self.unlike)
         found = judged.filter("alike").select("u", "v")
         if not found.isEmpty():
             self._join(found)
@@ -375,12 +398,14 @@ class _Classes:
     def run(self) -> DataFrame:
         """(node, component) of all texts that have a near copy."""
         rest = self.buckets()
-        pivots = 1
+        if not rest.isEmpty():
+            rest = self.open(self.first_round(rest))
+        if not rest.isEmpty():
+            rest = self.open(self.hopeful(rest))
+        pivots = PIVOTS
         while not rest.isEmpty():
             rest = self.open(self.compare(rest, pivots))
-            if not rest.isEmpty():
-                rest = self.open(self.hopeful(rest))
-            pivots = PIVOTS if pivots == 1 else 2 * pivots
+            pivots *= 2
         if self.named is None:
             return self.texts.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
         return self.named

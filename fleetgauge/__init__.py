@@ -12,7 +12,8 @@ from fleetgauge.params import (
     resolve_band,
     resolve_window,
 )
-from fleetgauge.plans.report import all_bands_report, disk_report
+from fleetgauge.operators.settle import release_dropped
+from fleetgauge.plans.report import all_band_rows, all_bands_report, band_rows, disk_report
 from fleetgauge.plans.stages import Stages
 from fleetgauge.sources.tables import Telemetry, read_telemetry, write_telemetry
 
@@ -27,9 +28,12 @@ __all__ = [
     "Stages",
     "Telemetry",
     "TimeWindow",
+    "all_band_rows",
     "all_bands_report",
+    "band_rows",
     "disk_report",
     "read_telemetry",
+    "release_dropped",
     "resolve_band",
     "resolve_window",
     "write_telemetry",

@@ -10,6 +10,10 @@ from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 
+# Bits of a row filter per wanted key, and the most words of 64 bits it has: 8 MB whatever the data.
+FILTER_BITS = 32
+FILTER_WORDS = 1 << 20
+
 _TEXT = (T.StringType, T.BinaryType)
 _FIXED_WIDTH = 8
 
@@ -36,6 +40,17 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(data_bytes(df.schema).alias("bytes")).first()["bytes"] or 0
 
 
+def measured_together(frames: list[DataFrame]) -> list[int]:
+    """Data sizes of several tables, counted by one aggregate job over all."""
+    def rows(i: int, df: DataFrame) -> DataFrame:
+        columns = F.struct(*[F.col(name) for name in df.columns])
+        return df.select(F.lit(i).alias("i"), _row_bytes(columns, df.schema).cast("long").alias("bytes"))
+
+    every = reduce(DataFrame.unionByName, [rows(i, df) for i, df in enumerate(frames)])
+    found = {r["i"]: r["bytes"] for r in every.groupBy("i").agg(F.sum("bytes").alias("bytes")).collect()}
+    return [found.get(i, 0) for i in range(len(frames))]
+
+
 def within_limit(size: int, limit: int | None = None) -> bool:
     """Whether ``size`` bytes may be sent to every executor."""
     return size <= (BROADCAST_BYTES if limit is None else limit)
@@ -52,7 +67,7 @@ def sized(df: DataFrame, small: bool) -> DataFrame:
 
 
 def lookup_join(
-    facts: DataFrame, lookup: DataFrame, on: str, *, small: bool, how: str = "inner"
+    facts: DataFrame, lookup: DataFrame, on: str | list[str], *, small: bool, how: str = "inner"
 ) -> DataFrame:
     """Join every row of ``facts`` to its matches in ``lookup``.
 
@@ -65,3 +80,31 @@ def lookup_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot split the facts of a {how} join")
     return facts.join(F.broadcast(lookup) if small else lookup.hint("shuffle_merge"), on, how)
+
+
+def _places(key: Column, words: int) -> list[tuple[Column, Column]]:
+    """Word and bit of a key under two hashes."""
+    found = []
+    for seed in (0, 1):
+        hashed = F.xxhash64(key, F.lit(seed))
+        bit = F.pmod(F.shiftright(hashed, 32), F.lit(64)).cast("int")
+        found.append((F.pmod(hashed, F.lit(words)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), bit)))
+    return found
+
+
+def thinned(facts: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
+    """``facts`` without most of the rows whose key ``wanted`` lacks, before anything moves.
+
+    The wanted keys, counted by one job, set bits of a filter that reaches the scans as one
+    value of a bounded size. Few rows pass it wrongly, so the join that decides still follows.
+    """
+    wanted = wanted.select(F.col(on).cast(facts.schema[on].dataType))
+    count = wanted.count()
+    words = min(FILTER_WORDS, 1 << (count * FILTER_BITS // 64).bit_length())
+    keys = wanted.select(F.explode(F.array(*[F.struct(w.alias("word"), b.alias("bits")) for w, b in _places(F.col(on), words)])).alias("p"))
+    every = wanted.sparkSession.range(words).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
+    table = keys.select("p.word", "p.bits").unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    in_order = F.array_sort(F.collect_list(F.struct("word", "bits")))
+    bits = table.agg(F.transform(in_order, lambda s: s["bits"]).alias("bits")).scalar()
+    passes = [F.get(bits, word).bitwiseAND(bit) != 0 for word, bit in _places(F.col(on), words)]
+    return facts.filter(reduce(lambda one, other: one & other, passes))

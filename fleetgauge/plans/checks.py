@@ -16,7 +16,7 @@ from fleetgauge.params import BANDS, TimeWindow
 from fleetgauge.plans.current import pairs_with_sides
 from fleetgauge.plans.items import SIZE_ROLES, has_any_role, size_items
 from fleetgauge.plans.stages import Stages
-from fleetgauge.plans.usage import name_series, side_counts
+from fleetgauge.plans.usage import name_series, series_keys, side_counts
 
 
 def unpaired(items: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def null_p95(stages: Stages) -> DataFrame:
     NULL days count as days and sort first, so from 95 % NULL days on the
     percentile itself is NULL.
     """
-    ranked = rank_within(stages.days, ["series_id"], "usage_pct")
+    ranked = rank_within(stages.days, series_keys(stages.days), "usage_pct")
     shares = ranked.groupBy("series_id").agg(
         F.count(F.lit(1)).alias("days"),
         F.count_if(F.col("usage_pct").isNull()).alias("null_days"),

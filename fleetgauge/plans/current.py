@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from fleetgauge.functions.clocks import clock_range
 from fleetgauge.functions.measures import share_pct
 from fleetgauge.operators.latest import latest
-from fleetgauge.operators.lookup import sized
+from fleetgauge.operators.lookup import sized, thinned
 from fleetgauge.params import CURRENT_LOOKBACK, POWER_LOOKBACK
-from fleetgauge.plans.usage import series_items
+from fleetgauge.plans.usage import HOST, series_items
 
 
 def recent_samples(history: DataFrame, wanted: DataFrame, as_of: int, small: bool) -> DataFrame:
@@ -18,17 +18,22 @@ def recent_samples(history: DataFrame, wanted: DataFrame, as_of: int, small: boo
 
     ``now`` is the latest of the last six hours (a sample stamped after ``as_of`` counts),
     ``power`` of the last hour, strictly before ``as_of``. Both are ``clock, value``; ``power``
-    is NULL where there is none.
+    is NULL where there is none. Beyond a broadcast most rows of other items are left out
+    before they are grouped.
     """
-    rows = clock_range(history, as_of - CURRENT_LOOKBACK).select("itemid", "clock", "value")
+    # Rows stored by host are grouped where they lie.
+    keys = [HOST, "itemid"] if HOST in history.columns else ["itemid"]
+    rows = clock_range(history, as_of - CURRENT_LOOKBACK).select(*keys, "clock", "value")
     if small:
         rows = rows.join(F.broadcast(wanted), "itemid", "left_semi")
+    else:
+        rows = thinned(rows, wanted, "itemid")
     clock = F.col("clock")
     last_hour = (clock >= as_of - POWER_LOOKBACK) & (clock < as_of)
-    found = rows.groupBy("itemid").agg(
+    found = rows.groupBy(*keys).agg(
         latest("clock", "value").alias("now"),
         latest("clock", "value", last_hour).alias("power"),
-    )
+    ).drop(HOST)
     return found if small else found.join(wanted, "itemid", "left_semi")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.text import matches_none
-from fleetgauge.operators.lookup import fits_broadcast, lookup_join
+from fleetgauge.operators.lookup import lookup_join
 from fleetgauge.params import ScopePolicy
 from fleetgauge.sources.tables import Telemetry
 
@@ -22,14 +22,12 @@ def groups_in_scope(hstgrp: DataFrame, policy: ScopePolicy) -> DataFrame:
     return hstgrp.filter(keep).select("groupid")
 
 
-def hosts_in_scope(
-    tables: Telemetry, policy: ScopePolicy, broadcast_bytes: int | None = None
-) -> DataFrame:
+def hosts_in_scope(tables: Telemetry, policy: ScopePolicy, small: bool) -> DataFrame:
     """``hostid, vm_name`` of the hosts a policy covers, once each.
 
-    Membership is a semi join, so a host in many groups is never multiplied.
+    Membership is a semi join, so a host in many groups is never multiplied. ``small`` says
+    that the groups were measured to fit a broadcast.
     """
-    small = fits_broadcast(tables.hstgrp, broadcast_bytes)
     members = _members(tables.hosts_groups, groups_in_scope(tables.hstgrp, policy), small)
     hosts = (
         tables.hosts.filter(matches_none(F.col("name"), policy.host_not_like))

@@ -1,7 +1,8 @@
 """All stages of one report, each a DataFrame that can be inspected.
 
 The first stage that needs the hosts in scope measures the hosts and computes the pairs and
-power items in scope, which are kept for the later stages; all else is lazy.
+power items in scope, and the first that needs days computes the daily means; both are kept for
+the later stages, and all else is lazy. What is kept is let go by ``release``, at the end of a ``with`` block, or after nothing holds the stages.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.operators.lookup import fits_broadcast, within_limit
-from fleetgauge.operators.settle import settle
+from fleetgauge.operators.lookup import measured_together, within_limit
+from fleetgauge.operators.settle import Kept
 from fleetgauge.params import P95, ScopePolicy, TimeWindow
 from fleetgauge.plans import current, items, scope, usage
 from fleetgauge.sources.tables import Telemetry
@@ -37,11 +38,24 @@ class Stages:
         self.as_of = as_of
         self.q = q
         self.broadcast_bytes = broadcast_bytes
+        self._kept = Kept()
+
+    def __enter__(self) -> Stages:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.release()
+
+    def release(self) -> None:
+        """Let the kept results go. Stages asked for afterwards are made anew."""
+        self._kept.release()
+        for name in [n for n in vars(self) if isinstance(getattr(type(self), n, None), cached_property)]:
+            delattr(self, name)
 
     @cached_property
     def list_server(self) -> DataFrame:
         """Hosts in scope."""
-        return scope.hosts_in_scope(self.tables, self.policy, self.broadcast_bytes)
+        return scope.hosts_in_scope(self.tables, self.policy, within_limit(self._sizes[0], self.broadcast_bytes))
 
     @cached_property
     def item_classify(self) -> DataFrame:
@@ -63,11 +77,16 @@ class Stages:
         """Power items of the whole fleet."""
         return items.power_items(self.tables.items)
 
+    @cached_property
+    def _sizes(self) -> tuple[int, int]:
+        """Data sizes of the groups and the hosts, measured by one job."""
+        return measured_together([self.tables.hstgrp, self.tables.hosts])
+
     @cached_property
     def _settled(self) -> tuple[DataFrame, int]:
         # The scope is a part of the hosts, so it is as small as those.
-        small = fits_broadcast(self.tables.hosts, self.broadcast_bytes)
-        return settle(items.members(self.tables.items, self.list_server, small))
+        small = within_limit(self._sizes[1], self.broadcast_bytes)
+        return self._kept.settle(items.members(self.tables.items, self.list_server, small))
 
     @property
     def members(self) -> DataFrame:
@@ -101,10 +120,17 @@ class Stages:
         """Aligned buckets in scope by series."""
         return usage.usage_buckets(self.series_rows, self.window.tz)
 
+    @cached_property
+    def _counted_days(self) -> tuple[DataFrame, int]:
+        """Daily means before repeated buckets are combined, and the number of days with any."""
+        days = self._kept.keep(usage.counted_days(self.series_rows, self.window.tz))
+        return days, days.filter("repeats > 0").count()
+
     @cached_property
     def days(self) -> DataFrame:
-        """Daily means in scope by series."""
-        return usage.usage_days(self.buckets)
+        """Daily means in scope by series, computed once."""
+        counted, repeated = self._counted_days
+        return usage.usage_days(counted, self.series_rows, self.window.tz, repeated)
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -140,7 +166,7 @@ class Stages:
     def _fleet_items(self) -> tuple[DataFrame, int]:
         """Paired and power items of the fleet: ``itemid, hostid`` with a NULL host if paired."""
         paired = self.need_itemids.select("itemid", F.lit(None).cast("long").alias("hostid"))
-        return settle(paired.unionByName(self.power_items))
+        return self._kept.settle(paired.unionByName(self.power_items))
 
     @cached_property
     def _fleet_recent(self) -> DataFrame:
@@ -148,7 +174,7 @@ class Stages:
         small = within_limit(size, self.broadcast_bytes)
         items = wanted.select("itemid").distinct()
         recent = current.recent_samples(self.tables.history_uint, items, self.as_of, small)
-        return recent.persist()
+        return self._kept.keep(recent)
 
     @cached_property
     def _scoped_recent(self) -> DataFrame:
@@ -156,7 +182,7 @@ class Stages:
         items = usage.series_items(self.scoped_pairs).select("itemid")
         wanted = items.union(self.scoped_power_items.select("itemid")).distinct()
         recent = current.recent_samples(self.tables.history_uint, wanted, self.as_of, self.small)
-        return recent.persist()
+        return self._kept.keep(recent)
 
     @cached_property
     def fleet_samples(self) -> DataFrame:

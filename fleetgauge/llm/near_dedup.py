@@ -47,7 +47,7 @@ PICKED = 3
 #: and is a candidate with a probability of 0.988; at a similarity of 0.85 with one of 0.9987.
 COMMON = 4
 #: Pivots of a bucket in the first round after one pivot each; later rounds take twice as many as the one before.
-PIVOTS = 128
+PIVOTS = 1024
 #: Pairs of texts that a Python worker gets at once.
 PAIRS_AT_ONCE = 200
 

@@ -211,7 +211,7 @@ def test_a_common_passage_against_all_pairs(spark):
     rng = random.Random(12)
     passage = [f"common{i}" for i in range(25)]
     rows = []
-    for base in range(60):
+    for base in range(120):
         words = [f"b{base}x{rng.randrange(10**6)}" for _ in range(rng.randint(60, 160))]
         at = rng.randrange(len(words))
         words = words[:at] + passage + words[at:]

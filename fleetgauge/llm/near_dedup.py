@@ -401,7 +401,7 @@ class _Classes:
         if not rest.isEmpty():
             rest = self.open(self.first_round(rest))
         if not rest.isEmpty():
-            rest = self.open(self.hopeful(rest))
+            rest = keep(self.hopeful(rest))
         pivots = PIVOTS
         while not rest.isEmpty():
             rest = self.open(self.compare(rest, pivots))

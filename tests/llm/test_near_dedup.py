@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -256,3 +257,28 @@ def test_components_of_a_long_path_and_a_star(spark):
     names = {r.node: r.component for r in found}
     assert len(found) == len(names) == 41 + 40
     assert {names[i] for i in range(41)} == {0} and {names[i] for i in range(100, 140)} == {100}
+
+
+def test_a_worker_holds_a_small_part_of_its_batch():
+    texts = [" ".join(f"w{i}x{j}" for j in range(300)).encode() for i in range(2000)]
+    tracemalloc.start()
+    try:
+        words = sum(len(part.hash) for _, part in nd._shards(texts))
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    finally:
+        tracemalloc.stop()
+    assert words == 600_000
+
+
+def test_workers_get_few_texts_at_once(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    seen, classified = [], nd._classified
+
+    def run(rows):
+        seen.append(int(spark.conf.get(name)))
+        return classified(rows)
+
+    monkeypatch.setattr(nd, "_classified", run)
+    before = spark.conf.get(name)
+    assert nd.near_classes(documents(spark)).count() == len(ODD_TEXTS)
+    assert seen == [nd.TEXTS_AT_ONCE] and spark.conf.get(name) == before

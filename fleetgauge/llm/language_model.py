@@ -48,6 +48,8 @@ PRIOR = 20.0
 
 #: Most words whose counts are broadcast.
 FREQUENT = 1 << 17
+#: Bits of a hash by which it is looked up.
+PREFIX = 18
 #: Bytes of training text for each gradient task.
 TASK_BYTES = 16 << 20
 SHARD_BYTES = 2 << 20
@@ -122,8 +124,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for texts in _shards(_texts(batch.column(0))):
             tokens = Tokens(texts)
-            _, first, count = np.unique(tokens.word, return_index=True, return_counts=True)
-            words = [tokens.text(i) for i in first.tolist()]
+            order = np.argsort(tokens.word)
+            ranked = tokens.word[order]
+            heads = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(order) else order
+            count = np.diff(np.r_[heads, len(order)])
+            words = [tokens.text(i) for i in order[heads].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(count, pa.int64())], ["word", "n"])
 
 
@@ -133,6 +138,8 @@ class Vocabulary(NamedTuple):
     hashes: np.ndarray
     counts: np.ndarray
     numbers: np.ndarray
+    #: Where the hashes with each value of the first ``PREFIX`` bits begin, and their end.
+    begin: np.ndarray
     tokens: int
     types: int
     tail_tokens: int
@@ -140,8 +147,17 @@ class Vocabulary(NamedTuple):
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each token among the frequent ones, or -1."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        prefix = (hashes >> np.uint64(64 - PREFIX)).astype(np.int64)
+        place, end = self.begin[prefix], self.begin[prefix + 1]
+        found = np.full(len(hashes), -1, np.int64)
+        todo = np.flatnonzero(place < end)
+        place, end, wanted = place[todo], end[todo], hashes[todo]
+        while len(todo):
+            hit = self.hashes[place] == wanted
+            found[todo[hit]] = place[hit]
+            more = ~hit & (place + 1 < end)
+            todo, place, end, wanted = todo[more], place[more] + 1, end[more], wanted[more]
+        return found
 
 
 class Weights(NamedTuple):
@@ -164,10 +180,13 @@ def vocabulary(words: list[str], counts: list[int], docs: int, tokens: int, type
     numbers[top] = np.arange(len(top))
     tokens, types = tokens + docs, types + (docs > 0)
     by_hash = np.argsort(hashes)
+    hashes = hashes[by_hash]
+    starts = np.arange(1 << PREFIX, dtype=np.uint64) << np.uint64(64 - PREFIX)
     return Vocabulary(
-        hashes[by_hash],
+        hashes,
         counts[by_hash],
         numbers[by_hash],
+        np.r_[np.searchsorted(hashes, starts), len(hashes)],
         tokens,
         types,
         tokens - int(counts[top].sum()),
@@ -239,26 +258,37 @@ def _member_rows(features: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return (_mixed(features + cls.astype(np.uint64) * _MIX[6]) >> np.uint64(40) & np.uint64(MEMBER_ROWS - 1)).astype(np.uint16)
 
 
-def _log_odds(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Logarithms of the softmax of the summed weights of each token's rows."""
-    logits = table[rows[0]] + bias
+def _logits(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Summed weights of each token's rows, at most 0, and the logarithms of the sums of their exponentials."""
+    logits = table.take(rows[0], axis=0)
+    logits += bias
+    term = np.empty_like(logits)
     for more in rows[1:]:
-        logits += table[more]
+        logits += table.take(more, axis=0, out=term, mode="clip")
     logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
+    return logits, np.log(np.exp(logits, out=term).sum(axis=1, keepdims=True))
+
+
+def _log_odds(table: np.ndarray, rows: np.ndarray, bias: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of the summed weights of each token's rows, at the number in ``right``."""
+    logits, sums = _logits(table, rows, bias)
+    return logits[np.arange(len(right)), right] - sums[:, 0]
 
 
 def _step(table: np.ndarray, rows: np.ndarray, bias: np.ndarray, right: np.ndarray) -> None:
     """One gradient step of a softmax: each row by the mean error of its tokens."""
-    wrong = -np.exp(_log_odds(table, rows, bias))
+    wrong, sums = _logits(table, rows, bias)
+    wrong -= sums
+    np.negative(np.exp(wrong, out=wrong), out=wrong)
     wrong[np.arange(len(right)), right] += 1
+    dealt = np.empty_like(wrong)
     for feature in rows:
         order = np.argsort(feature, kind="stable")
         ranked = feature[order]
         heads = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
         count = np.diff(np.r_[heads, len(ranked)]).astype(np.float32)[:, None]
-        table[ranked[heads]] += RATE * np.add.reduceat(wrong[order], heads) / (count + PRIOR)
+        step = np.add.reduceat(wrong.take(order, axis=0, out=dealt, mode="clip"), heads)
+        table[ranked[heads]] += RATE * step / (count + PRIOR)
 
 
 def learn(weights: Weights, batch: Batch) -> None:
@@ -279,13 +309,12 @@ def log10_model(weights: Weights, batch: Batch) -> np.ndarray:
     for start in range(0, len(batch.cls), BATCH):
         part = slice(start, start + BATCH)
         cls, features = batch.cls[part], batch.features[:, part]
-        odds = _log_odds(weights.classes, _class_rows(features), weights.class_bias)
-        got = odds[np.arange(len(cls)), cls].astype(np.float64)
+        got = _log_odds(weights.classes, _class_rows(features), weights.class_bias, cls).astype(np.float64)
         inside = np.flatnonzero(cls < CLASSES)
         if len(inside):
             own, mine = cls[inside], features[:, inside]
-            odds = _log_odds(weights.members, _member_rows(mine, own), weights.member_bias[own])
-            got[inside] += odds[np.arange(len(own)), batch.member[part][inside]]
+            right = batch.member[part][inside]
+            got[inside] += _log_odds(weights.members, _member_rows(mine, own), weights.member_bias[own], right)
         out[part] = got
     return out / np.log(10)
 
@@ -444,9 +473,10 @@ def _scorer(model: Model, context):
                 columns[3].append(total(log10_model(weights.value, batch)))
                 columns[4].append(total(tail))
                 columns[5].append(total(np.where(tail, value, 0.0)))
-                missing = vocabulary.lookup(tokens.word) < 0
-                number = np.flatnonzero(missing)
-                row = np.searchsorted(tokens.first, number, side="right") - 1
+                # The end is a frequent token, and a row has one end for each row before it.
+                missing = np.flatnonzero(~inside)
+                row = rows[missing]
+                number = missing - row
                 pairs = np.lexsort((tokens.word[number], row))
                 number, row = number[pairs], row[pairs]
                 new = np.r_[True, (row[1:] != row[:-1]) | (tokens.word[number[1:]] != tokens.word[number[:-1]])]

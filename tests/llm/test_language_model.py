@@ -94,3 +94,17 @@ def test_without_training_texts(spark):
     df = documents(spark)
     model = lm.fit(df.select("doc_id", "text"), F.lit(False))
     assert all(r.n_known == 0 and math.isfinite(r.score) for r in lm.score(df, model).collect())
+
+
+def test_a_token_is_looked_up_by_its_first_bits():
+    """Few comparisons a token; hashes with equal first bits, and at both ends, are told apart."""
+    known = lm.vocabulary([f"w{i}" for i in range(5000)], list(range(5000, 0, -1)), 7, 20_000_000, 5000)
+    crowded = np.sort(np.r_[known.hashes, np.arange(40, dtype=np.uint64) << np.uint64(3), np.uint64(2**64 - 1)])
+    crowded = np.unique(crowded)
+    starts = np.arange(1 << lm.PREFIX, dtype=np.uint64) << np.uint64(64 - lm.PREFIX)
+    known = known._replace(hashes=crowded, begin=np.r_[np.searchsorted(crowded, starts), len(crowded)])
+    asked = np.r_[crowded[::-1], crowded + np.uint64(1), np.uint64(0), lm.END]
+    places = {h: i for i, h in enumerate(crowded.tolist())}
+    assert known.lookup(asked).tolist() == [places.get(h, -1) for h in asked.tolist()]
+    assert known.lookup(np.empty(0, np.uint64)).tolist() == []
+    assert np.diff(lm.vocabulary([f"w{i}" for i in range(5000)], [1] * 5000, 7, 0, 0).begin).max() < 8

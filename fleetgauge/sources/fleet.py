@@ -2,7 +2,8 @@
 
 Any table of host ids makes one: the customers of the business tables, or ``spark.range`` for a
 fleet of any size. All rows come from arithmetic on the id, in the tasks that hold it, so a fleet
-is the same however it is distributed, and hosts are not moved to make it.
+is the same however it is distributed. Only the ids are moved, and dealt out first: a host has
+hundreds of rows, and a file of a million ids may be one task's.
 
 Items 1 and 3 of a host are used space of ``/`` and ``/data``, 2 and 4 free space, 5 is the power
 state, 6 a second power item. By the id: some keys hold a literal percent sign under a name no
@@ -20,6 +21,8 @@ from fleetgauge.params import CURRENT_LOOKBACK, ROLLING_DAYS
 from fleetgauge.sources.tables import Telemetry
 
 DAY = 86400
+#: Hosts whose rows one task makes.
+HOSTS_AT_ONCE = 8192
 #: Bytes that one percent of a filesystem is.
 PERCENT = 100_000_000
 
@@ -98,6 +101,9 @@ def fleet(hosts: DataFrame, as_of: int, *, days: int = ROLLING_DAYS + 2, step: i
     """
     spark = hosts.sparkSession
     ids = hosts.select(F.col("hostid").cast("long").alias("hostid"))
+    tasks = -(-ids.count() // HOSTS_AT_ONCE)
+    if tasks > 1:
+        ids = ids.repartition(tasks)
     groups = spark.range(len(GROUPS)).select(
         F.col("id").alias("groupid"), F.get(F.array(*[F.lit(g) for g in GROUPS]), F.col("id").cast("int")).alias("name")
     )

@@ -52,7 +52,8 @@ def null_p95(stages: Stages) -> DataFrame:
     NULL days count as days and sort first, so from 95 % NULL days on the
     percentile itself is NULL.
     """
-    ranked = rank_within(stages.days, series_keys(stages.days), "usage_pct")
+    days = stages.days_by_series
+    ranked = rank_within(days, series_keys(days), "usage_pct")
     shares = ranked.groupBy("series_id").agg(
         F.count(F.lit(1)).alias("days"),
         F.count_if(F.col("usage_pct").isNull()).alias("null_days"),
@@ -102,7 +103,7 @@ def clock_skew(stages: Stages) -> DataFrame:
     """Buckets per filesystem that have both sides, and those lost for lack of one."""
     used, free = F.col("n_first") > 0, F.col("n_second") > 0
     counts = (
-        side_counts(stages.series_rows, stages.window.tz)
+        side_counts(stages.series_rows, stages.window.tz, stages.most_days)
         .groupBy("series_id")
         .agg(
             F.count_if(used & free).alias("aligned"),

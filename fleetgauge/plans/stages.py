@@ -19,6 +19,11 @@ from fleetgauge.plans import current, items, scope, usage
 from fleetgauge.sources.tables import Telemetry
 
 
+_DAY = 86400
+# A member has at least this data size: four numbers and two texts.
+_MEMBER_BYTES = 48
+
+
 class Stages:
     """The stages for one scope, window and as-of time (epoch seconds)."""
 
@@ -98,6 +103,11 @@ class Stages:
         """Whether ``members``, and so anything with a row per member, fits a broadcast."""
         return within_limit(self._settled[1], self.broadcast_bytes)
 
+    @cached_property
+    def most_days(self) -> int:
+        """A bound on the days of all series of the window, from the data size of ``members``."""
+        return self._settled[1] // _MEMBER_BYTES * (-(-(self.window.end - self.window.start) // _DAY) + 1)
+
     @cached_property
     def scoped_pairs(self) -> DataFrame:
         """Pairs of the hosts in scope, with names."""
@@ -118,12 +128,12 @@ class Stages:
     @cached_property
     def buckets(self) -> DataFrame:
         """Aligned buckets in scope by series."""
-        return usage.usage_buckets(self.series_rows, self.window.tz)
+        return usage.usage_buckets(self.series_rows, self.window.tz, self.most_days)
 
     @cached_property
     def _counted_days(self) -> tuple[DataFrame, int]:
         """Daily means before repeated buckets are combined, and the number of days with any."""
-        days = self._kept.keep(usage.counted_days(self.series_rows, self.window.tz))
+        days = self._kept.keep(usage.counted_days(self.series_rows, self.window.tz, self.most_days))
         return days, days.filter("repeats > 0").count()
 
     @cached_property
@@ -132,10 +142,15 @@ class Stages:
         counted, repeated = self._counted_days
         return usage.usage_days(counted, self.series_rows, self.window.tz, repeated)
 
+    @cached_property
+    def days_by_series(self) -> DataFrame:
+        """``days``, dealt out by series if they are many, to be ranked."""
+        return usage.by_series(self.days, self.most_days)
+
     @cached_property
     def summary(self) -> DataFrame:
         """Period mean and percentile in scope by series."""
-        return usage.summary(self.days, self.window, self.q)
+        return usage.summary(self.days_by_series, self.window, self.q)
 
     @cached_property
     def detail(self) -> DataFrame:
@@ -155,7 +170,7 @@ class Stages:
     @cached_property
     def ordered_daily(self) -> DataFrame:
         """Ranked days in scope."""
-        return usage.daily_ranked(self.days, self.scoped_pairs, self.small)
+        return usage.daily_ranked(self.days_by_series, self.scoped_pairs, self.small)
 
     @cached_property
     def p95(self) -> DataFrame:

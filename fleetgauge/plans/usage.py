@@ -22,6 +22,9 @@ from fleetgauge.params import P95, TimeWindow
 HOST = "hostid"
 # A series and a day.
 _DAY_BYTES = 16
+# Series' days whose buckets one task lines up, and days that one task ranks.
+DAYS_LINED_UP = 1 << 18
+DAYS_RANKED = 1 << 20
 MEASURES = ["used_gib", "free_gib", "usage_pct"]
 
 
@@ -61,27 +64,43 @@ def series_keys(df: DataFrame) -> list[str]:
     return [HOST, "series_id"] if HOST in df.columns else ["series_id"]
 
 
-def by_series_and_day(rows: DataFrame, tz: str) -> DataFrame:
+def _dealt(df: DataFrame, parts: int, *columns) -> DataFrame:
+    """``df`` in an exchange by ``columns``, in ``parts`` partitions where the session has fewer."""
+    if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartition(parts, *columns)
+    return df.repartition(*columns)
+
+
+def by_series_and_day(rows: DataFrame, tz: str, most: int = 0) -> DataFrame:
     """The rows in one exchange by series and day, which also serves the daily means.
 
     The day itself is added after it, so it is not shuffled. Rows stored by host lie
-    together already and need no exchange.
+    together already and need no exchange. Partitions grow in number with ``most``, a bound on
+    the days of all series, so that none grows with the fleet.
     """
     day = local_day(F.col("clock"), tz)
     if HOST not in rows.columns:
-        rows = rows.repartition("series_id", day)
+        rows = _dealt(rows, -(-most // DAYS_LINED_UP), "series_id", day)
     return rows.withColumn("day", day)
 
 
+def by_series(days: DataFrame, most: int) -> DataFrame:
+    """Days in one exchange by series where they are too many for the session's partitions."""
+    parts = -(-most // DAYS_RANKED)
+    if HOST in days.columns or parts <= int(days.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return days
+    return days.repartition(parts, "series_id")
+
+
 def _sides(dealt: DataFrame, value) -> DataFrame:
     """Per series and bucket: a value and the number of rows of the used and the free side."""
     used = F.col("is_used")
     return pivot_sides(dealt, [*series_keys(dealt), "day", "clock"], used, ~used, value, F.max)
 
 
-def side_counts(rows: DataFrame, tz: str) -> DataFrame:
+def side_counts(rows: DataFrame, tz: str, most: int = 0) -> DataFrame:
     """``n_first``/``n_second``: rows of the used and the free side per series and bucket."""
-    return _sides(by_series_and_day(rows, tz), F.lit(None))
+    return _sides(by_series_and_day(rows, tz, most), F.lit(None))
 
 
 def _measured(aligned: DataFrame, *others: str) -> DataFrame:
@@ -116,22 +135,22 @@ def _combined(dealt: DataFrame) -> DataFrame:
     )
 
 
-def usage_buckets(rows: DataFrame, tz: str) -> DataFrame:
+def usage_buckets(rows: DataFrame, tz: str, most: int = 0) -> DataFrame:
     """``series_id, day, clock, used_gib, free_gib, usage_pct`` per aligned bucket.
 
     A bucket needs a row of each side at the same clock; should rows repeat,
     every combination of theirs is a row. One read and one exchange.
     """
-    return _measured(_combined(by_series_and_day(rows, tz)))
+    return _measured(_combined(by_series_and_day(rows, tz, most)))
 
 
-def counted_days(rows: DataFrame, tz: str) -> DataFrame:
+def counted_days(rows: DataFrame, tz: str, most: int = 0) -> DataFrame:
     """Daily means per series, and in ``repeats`` how many of the day's buckets have several rows a side.
 
     The two sides are lined up by their largest values, which are the only ones unless rows
     repeat: half the work of ``usage_buckets``. A day that repeats is right after ``usage_days``.
     """
-    dealt = by_series_and_day(rows, tz)
+    dealt = by_series_and_day(rows, tz, most)
     keys = series_keys(dealt)
     repeats = (F.col("n_first") > 1) | (F.col("n_second") > 1)
     aligned = (
@@ -157,7 +176,7 @@ def usage_days(counted: DataFrame, rows: DataFrame, tz: str, repeated: int) -> D
     dated = rows.withColumn("day", local_day(F.col("clock"), tz))
     small = within_limit(repeated * _DAY_BYTES)
     again = lookup_join(dated, some, ["series_id", "day"], small=small, how="left_semi")
-    buckets = _measured(_combined(by_series_and_day(again.drop("day"), tz)))
+    buckets = _measured(_combined(by_series_and_day(again.drop("day"), tz, repeated)))
     return once.unionByName(daily_means(buckets, keys, "day", MEASURES))
 
 

@@ -48,6 +48,8 @@ PICKED = 3
 COMMON = 4
 #: Pivots of a bucket in the first round after one pivot each; later rounds take twice as many as the one before.
 PIVOTS = 1024
+#: 64-bit words of a parity map.
+PARITY = 16
 #: Texts, and pairs of texts, that a Python worker gets at once.
 TEXTS_AT_ONCE = 1000
 PAIRS_AT_ONCE = 200
@@ -220,6 +222,23 @@ def _shingled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(found, pa.list_(pa.int64()))
 
 
+def parity_map(found: np.ndarray) -> np.ndarray:
+    """Bits that tell whether an odd number of labelled shingles falls on them.
+
+    Every shingle that only one of two texts has turns one bit, so no more bits differ than shingles do.
+    """
+    bits = np.bincount((found >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _parities(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The parity map of a word sequence."""
+    for column in batches:
+        found = [parity_map(labelled(shingles(np.frombuffer(s, np.uint64)))) for s in column.to_pylist()]
+        yield pa.array(found, pa.list_(pa.int64()))
+
+
 def bucket_keys(sketches: Column) -> Column:
     """One key for each two neighbouring sketches."""
     return F.array(
@@ -238,6 +257,12 @@ def _possible(one: str, two: str) -> Column:
     return aligned >= SIMILARITY * (_size(f"{one}.n") + _size(f"{two}.n")) - 1e-6
 
 
+def _near(one: str, two: str) -> Column:
+    """Whether an alignment can hold enough shingles: at most so many are in one of the texts only."""
+    unlike = sum((F.bit_count(F.col(f"{one}.parity")[i].bitwiseXOR(F.col(f"{two}.parity")[i])) for i in range(PARITY)), F.lit(0))
+    return unlike * (1 + SIMILARITY) <= (1 - SIMILARITY) * (_size(f"{one}.n") + _size(f"{two}.n")) + 1e-6
+
+
 def _ends(one: str, two: str) -> list[Column]:
     ids = (f"{one}.id", f"{two}.id")
     return [F.greatest(*ids).alias("u"), F.least(*ids).alias("v")]
@@ -312,6 +337,13 @@ class _Classes:
         most = _size("n") - F.coalesce("own", F.lit(0))
         return rest.withColumn("most", most).drop("own").filter(most >= SIMILARITY * _size("n") - 1e-6)
 
+    def mapped(self, members: DataFrame) -> None:
+        """Parity maps beside the sketches of the texts of ``members``."""
+        ids = members.select("id").distinct()
+        wanted = self.sequences.join(ids.hint("shuffle_merge"), "id", "left_semi")
+        maps = wanted.select("id", _parities(F.col("sequence")).alias("parity"))
+        self.texts = keep(self.texts.join(maps.hint("shuffle_merge"), "id"))
+
     def first_round(self, members: DataFrame) -> DataFrame:
         """One pivot for each bucket, the text that meets most others; members without them."""
         tie = F.xxhash64("id").alias("tie")
@@ -331,6 +363,7 @@ class _Classes:
         """One round: the pivots against all members of other components; members without the pivots.
 
         Members of small components come first: a bucket is done when all but one are compared.
+        Pairs with too many shingles in one text only, as their parity maps tell, are left out.
         Two texts are compared in the first bucket that they share, and there when the first of
         them is a pivot, so no pair is written twice.
         """
@@ -349,6 +382,7 @@ class _Classes:
             & (F.col("m.component") != F.col("p.component"))
             & (F.col("m.pivot").isNull() | (F.col("m.id") < F.col("p.id")))
             & _possible("m", "p")
+            & _near("m", "p")
             & (_equal("m.sketches", "p.sketches") >= COMMON)
             & (F.col("m.key") == _first_key("m.sketches", "p.sketches")),
         )
@@ -404,6 +438,8 @@ class _Classes:
             rest = self.open(self.first_round(rest))
         if not rest.isEmpty():
             rest = keep(self.hopeful(rest))
+        if not rest.isEmpty():
+            self.mapped(rest)
         pivots = PIVOTS
         while not rest.isEmpty():
             rest = self.open(self.compare(rest, pivots))

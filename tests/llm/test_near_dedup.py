@@ -159,6 +159,45 @@ def test_rounds_write_no_squares(spark, monkeypatch):
     assert sum(seen) <= 4 * len(texts)
 
 
+def test_no_more_bits_differ_than_shingles():
+    rng = random.Random(14)
+    for _ in range(100):
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randint(40, 400))]
+        parts = [sequence(" ".join(w)) for w in (words, edited(rng, words, rng.randint(1, 30)))]
+        one, two = (nd.labelled(nd.shingles(w)) for w in parts)
+        unlike = np.bitwise_count((nd.parity_map(one) ^ nd.parity_map(two)).view(np.uint64)).sum()
+        assert unlike <= len(np.setxor1d(one, two))
+        if nd.similarity(*parts):
+            assert unlike * (1 + nd.SIMILARITY) <= (1 - nd.SIMILARITY) * (len(one) + len(two)) + 1e-6
+
+
+def test_copies_just_too_far_are_not_aligned(spark, monkeypatch):
+    """Each text could be similar to the unedited one, but not to another edited one."""
+    rng = random.Random(16)
+    words = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(60):
+        own = list(words)
+        for at in rng.sample(range(5, 195, 5), 4):
+            own[at] = f"x{i}x{at}"
+        texts.append(" ".join(own))
+    seen = []
+    verify = nd._Classes._verify
+
+    def counted(self, pairs):
+        seen.append(pairs.count())
+        verify(self, pairs)
+
+    monkeypatch.setattr(nd._Classes, "_verify", counted)
+    expected, _ = true_classes(list(enumerate(texts)))
+    found = {r.node: r.component for r in given_classes(spark, texts, lambda i: list(range(20))).run().collect()}
+    names = {}
+    for i in range(len(texts)):
+        names.setdefault(found.get(i, i), []).append(i)
+    assert {i: max(own) for own in names.values() for i in own} == expected
+    assert sum(seen) <= 4 * len(texts)
+
+
 def true_classes(rows):
     """Classes by the stated similarity of all pairs of different texts, each named by its largest id."""
     sequences = {}
